@@ -38,6 +38,9 @@ def _held(spark: SparkSession, path: str, of: list[Column], state: str, files: i
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # many partitions with little state each: no space is reserved ahead for logs, and changes are kept, not whole copies
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
