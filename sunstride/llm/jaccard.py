@@ -65,7 +65,7 @@ class Shingler:
         h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(h))
         m = len(h) - k + 1
-        s = np.full(m, self.by[-1] * np.uint64(k), np.uint64)
+        s = np.full(m, int(self.by[-1]) * k % (1 << 64), np.uint64)
         for i in range(k):
             s += h[i : i + m] * self.by[i]
             s ^= s >> np.uint64(29)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, quality, toxicity, url_filter
+from . import exact_dedup, jaccard, language, mixing, quality, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL query as (verdict, host, path).
@@ -23,6 +23,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +40,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_language, op7_exact_dedup, op8_url_filter, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_language, op5_jaccard_join, op7_exact_dedup, op8_url_filter, op9_toxicity)}
 
 SQL = {
     "op7_exact_dedup": """
