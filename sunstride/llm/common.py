@@ -75,3 +75,22 @@ def in_bloom(keys: DataFrame, key: Column, probe: Column, bits: int = 1 << 23) -
         return pd.Series(found)
 
     return seen(probe)
+
+
+#: Rows of one key that meet in a task at most before the key is dealt over several; keys above a thousandth of all rows are hot.
+ROWS_A_TASK, HOT_KEYS = 500, 1000
+
+
+def join_groups(rows: DataFrame, key: str, by: Column, groups: DataFrame, size: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row a ``key``, ``size`` rows in each) that deals hot keys over tasks.
+
+    Keys with more than ROWS_A_TASK rows and more than a thousandth of all are split by the hash of ``by`` and their
+    group's row is repeated for each part; at most HOT_KEYS keys can be that large, so sending them to all tasks is bounded.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    bound = max(ROWS_A_TASK, total // HOT_KEYS)
+    hot = F.broadcast(groups.where(F.col(size) > bound).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / ROWS_A_TASK).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_hot", "_parts")
+    right = groups.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return left.join(right, [key, "_part"]).drop("_part")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, language, mixing, quality, toxicity, url_filter
+from . import archive, decontaminate, exact_dedup, jaccard, language, mixing, quality, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL query as (verdict, host, path).
@@ -23,6 +23,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 
@@ -40,9 +48,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_language, op5_jaccard_join, op7_exact_dedup, op8_url_filter, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_language, op4_warc, op5_jaccard_join, op6_decontamination, op7_exact_dedup, op8_url_filter, op9_toxicity)}
 
 SQL = {
+    "op4_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, unhex(sha1(body)) AS h, max(page_id) OVER (PARTITION BY body) AS keep FROM t),
+        b AS (SELECT page_id, payload_bytes, keep, array_to_string(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(h::BIT::VARCHAR, 5 * i + 1, 5))::INT, 1)), '') AS payload_digest FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to FROM b
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
