@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, exact_dedup, jaccard, language, mixing, quality, toxicity, url_filter
+from . import archive, decontaminate, exact_dedup, jaccard, language, mixing, quality, toxicity, training_order, url_filter
 from .common import table
 
 #: The rules of the URL query as (verdict, host, path).
@@ -48,7 +48,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_language, op4_warc, op5_jaccard_join, op6_decontamination, op7_exact_dedup, op8_url_filter, op9_toxicity)}
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.ordered(table(spark, sf_dir, "documents")).drop("path")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_language, op4_warc, op5_jaccard_join, op6_decontamination, op7_exact_dedup, op8_url_filter, op9_toxicity, op10_training_order)}
 
 SQL = {
     "op4_warc": """

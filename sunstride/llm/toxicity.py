@@ -7,12 +7,13 @@ networks without a hidden layer then minimise the risk  pi * R_p(+) + max(0, R_u
 bootstraps, and their mean gives the score.
 
 Bounds: ``positives`` and ``unlabelled`` rows and ``features`` at most are used to fit. Every row is scored over its whole text.
-Defined results: null and empty texts get the score of a text without any feature; without positives every score is 0;
+Defined results: null and empty texts get the score of a text without any feature; without positives, or without a word that tells them apart, every score is 0;
 a null identifier counts as not held out and is never learned from; repeated rows get a row each; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import settled
 from .labelled import draw, remainder, scored, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
@@ -72,16 +74,39 @@ def _rows(sets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.array(s, dtype=np.int64) for s in sets] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
 
+def covering(sets: list[list[int]], features: int, times: int = 4) -> list[int]:
+    """Features, picked greedily, until no other adds two positives (and a five-hundredth) that have less than ``times`` of them.
+
+    Words that positives share only because they are copies of each other add nothing to the words that mark them.
+    """
+    cols, rows = _rows(sets)
+    by = np.split(rows[np.argsort(cols, kind="stable")], np.cumsum(np.bincount(cols, minlength=features))[:-1])
+    need, out = np.full(len(sets), times), []
+    heap = [(-len(r), f) for f, r in enumerate(by)]
+    heapq.heapify(heap)
+    while heap:
+        _, f = heapq.heappop(heap)
+        gain = int((need[by[f]] > 0).sum())
+        if gain < max(2, len(sets) / 500):
+            continue
+        if heap and gain < -heap[0][0]:
+            heapq.heappush(heap, (-gain, f))
+            continue
+        need[by[f]] -= 1
+        out.append(f)
+    return sorted(out)
+
+
 def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     """The least ratio, over thresholds of a score, of unlabelled to positive texts above it: the share of positives that can be among the unlabelled."""
     best = 1.0
     for cut in np.unique(np.quantile(p, np.linspace(0.02, 0.9, 45))):
         a, b = np.mean(p >= cut), np.mean(u >= cut)
         best = min(best, (b + 1.0 / np.sqrt(len(u)) * np.sqrt(max(b * (1 - b), 1e-6))) / a)
-    return float(np.clip(best, 1e-4, 0.9))
+    return float(np.clip(best, 1e-4, 0.5))
 
 
-def fit_nnpu(p: list[list[int]], u: list[list[int]], features: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 3) -> np.ndarray:
+def fit_nnpu(p: list[list[int]], u: list[list[int]], features: int, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> np.ndarray:
     """Weights and, last, the bias, of the classifier with the least non-negative risk under the logistic loss."""
     pick = np.random.default_rng(seed)
     w = np.zeros(features + 1)
@@ -138,12 +163,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", i
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return Model([], 0.0, np.zeros((0, 1)))
-    # oftener in positives by three standard errors and at least twice as often
-    often = _counted(texts).where("p >= 3").withColumn("a", F.col("p") / n_p).withColumn("b", F.col("u") / n_u)
-    often = often.withColumn("least", F.col("a") - F.col("b") * 2 - 3 * F.sqrt((F.col("a") + F.lit(1.0 / n_p)) / n_p))
-    gain = F.col("a") * F.log((F.col("a") + 0.5 / n_p) / (F.col("b") + 0.5 / n_u))
-    chosen = [r[0] for r in often.where("a > 2 * b and (least > 0 or (u = 0 and p >= 6))").orderBy(gain.desc(), "feature").limit(features).collect()]
-    chosen.sort()
+    # what only positives have is 1 / prior times as frequent in them; half of the highest such ratio is asked for, at
+    # least 2, and 3.5 standard deviations above what twice the unlabelled rate explains
+    often = settled(_counted(texts).where("p >= 3").withColumn("a", F.col("p") / n_p).withColumn("b", (F.col("u") + 1) / n_u), "toxic-counts")
+    expected = 2 * n_p * F.col("b")
+    top = often.where(F.col("p") >= max(10, n_p // 100)).agg(F.max((F.col("p") - F.sqrt("p")) / n_p / F.col("b"))).first()[0] or 4.0
+    often = often.where(F.col("a") >= max(2.0, top / 2) * F.col("b"))
+    gain = F.col("a") * F.log((F.col("a") + 0.5 / n_p) / (F.col("b") + 0.5 / n_p))
+    chosen = [r[0] for r in often.where(F.col("p") - expected >= 3.5 * F.sqrt(expected + 1)).orderBy(gain.desc(), "feature").limit(features).collect()]
+    if not chosen:
+        return Model([], 0.0, np.zeros((0, 1)))
     sent = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", i
         sets[positive].append(list(has))
     for s in sets:
         s.sort()
+    keep = covering(sets[1], len(chosen))
+    if not keep:
+        return Model([], 0.0, np.zeros((0, 1)))
+    place = {f: i for i, f in enumerate(keep)}
+    chosen, sets = [chosen[f] for f in keep], tuple([[place[f] for f in one if f in place] for one in s] for s in sets)
     prior = class_prior(np.array([len(s) for s in sets[1]], float), np.array([len(s) for s in sets[0]], float))
     return Model(chosen, prior, np.stack([fit_nnpu(sets[1], sets[0], len(chosen), prior, seed=k) for k in range(bootstraps)]))
 
