@@ -3,9 +3,10 @@
 Texts become sets of hashed word shingles. Two sets whose Jaccard similarity is at least 4/5 differ in few shingles, which
 bounds both how many of a set's lowest hashes the other must have too and how far their count vectors can be apart:
 
-1. Equal sets are one class. Each class deals its lowest n/5 + 1 + n/10 hashes over the cluster (as packed arrays). A
-   partner of similar size shares at least 1 + n/10 of them, so classes that share fewer with all others together go.
-2. What is left and shares a hash forms candidate clusters (connected components), a superset of the links.
+1. Equal sets are one class. Each class deals its lowest n/5 + 1 + 3n/10 hashes over the cluster (as packed arrays). A
+   partner shares at least t = 1 + 3/10 * 4n/5 of them, so classes that share fewer with all others together go.
+2. Of the hashes that a class shares, the t - 1 that most classes have are set aside: a partner still shares the rarest
+   one. Classes that share one of the others form candidate clusters (connected components), a superset of the links.
 3. Inside a cluster the shingles are hashed into groups; the counts by group are points, packed into an R-tree. The
    summed coordinate minima of a point and a node's upper corner bound any overlap below it. Pairs that survive and are
    not yet connected are verified on the whole sets. Clusters too large for a task are checked in blocks: each against
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import in_bloom, settled
 from .components import components
@@ -75,27 +76,24 @@ class Shingler:
 
 
 def _prefix(n: int) -> int:
-    return n // 5 + 1 + n // 10
+    return n // 5 + 1 + 3 * n // 10
 
 
-def _need(n: int) -> str:
-    """SQL: how many of its dealt hashes a class of ``n`` shingles shares with any partner at least."""
-    return f"1 + div(div(4 * {n} + 4, 5), 10)"
+#: SQL: how many of its dealt hashes a class of ``n`` shingles shares with any partner at least.
+_NEED = "1 + div(3 * div(4 * n + 4, 5), 10)"
 
 
 def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int) -> DataFrame:
-    """Rows of two kinds: a row for each text (part is null), and packed hashes for each part."""
+    """Two kinds of rows: one for each text (key is null), and (key, class, n, df) for each dealt hash that classes of comparable size share; df is how many classes have it."""
     kind = docs.schema[ident].dataType.simpleString()
-    schema = f"doc_id {kind}, n int, class long, body_hash long, part int, keys binary, classes binary, sizes binary"
+    names = ["doc_id", "n", "class", "body_hash", "part", "keys", "classes", "sizes"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        keys, owners, classes, sizes, held, seen = [], [], [], [], 0, set()
+        keys, owners, classes, sizes, held, seen, ident_type = [], [], [], [], 0, set(), None
 
-        def flush() -> pa.RecordBatch | None:
+        def flush() -> pa.RecordBatch:
             nonlocal held
-            if not keys:
-                return None
             k, o = np.concatenate(keys), np.repeat(np.arange(len(owners)), owners)
             c, z = np.array(classes, np.int64), np.array(sizes, np.int32)
             k = (k ^ (k >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -103,19 +101,18 @@ def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int) -> Da
             order = np.argsort(at, kind="stable")
             k, o = (k >> np.uint64(32)).astype(np.uint32)[order], o[order]
             ends = np.searchsorted(at[order], np.arange(parts + 1))
-            out = [(p, k[a:b], o[a:b]) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+            out = []  # for each part its hashes, the number of each one's class among the classes named, and those
+            for p, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
+                if j > i:
+                    used, no = np.unique(o[i:j], return_inverse=True)
+                    out.append((p, k[i:j].tobytes() + no.astype(np.uint32).tobytes(), c[used].tobytes(), z[used].tobytes()))
             keys.clear(), owners.clear(), classes.clear(), sizes.clear()
             held = 0
-            m = len(out)
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, b0.column(0).type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([p for p, _, _ in out], pa.int32())]
-                + [pa.array([f(k_, o_) for _, k_, o_ in out], pa.binary()) for f in (lambda k_, o_: k_.tobytes(), lambda k_, o_: c[o_].tobytes(), lambda k_, o_: z[o_].tobytes())],
-                ["doc_id", "n", "class", "body_hash", "part", "keys", "classes", "sizes"],
-            )
-
-        b0 = None
+            m, cols = len(out), list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.nulls(m, ident_type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names)
+
         for b in batches:
-            b0, n, c = b, [], []
+            ident_type, n, c = b.column(0).type, [], []
             for body in b.column(1).to_pylist():
                 s = shingles(body)
                 n.append(len(s))
@@ -127,43 +124,46 @@ def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int) -> Da
                     p = s[: _prefix(len(s))]
                     keys.append(p), owners.append(len(p)), classes.append(c[-1]), sizes.append(len(s))
                     held += len(p)
+                    if held > _FLUSH:
+                        yield flush()
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(c, pa.int64()), b.column(2), pa.nulls(m, pa.int32())] + [pa.nulls(m, pa.binary())] * 3,
-                ["doc_id", "n", "class", "body_hash", "part", "keys", "classes", "sizes"],
-            )
-            if held > _FLUSH and (out := flush()):
-                yield out
-        if keys and (out := flush()):
-            yield out
-
-    body = F.col(text).cast("binary")
-    return docs.select(F.col(ident), body, F.xxhash64(F.col(text))).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(c, pa.int64()), b.column(2), pa.array(np.arange(m) % parts, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], names)
+        if keys:
+            yield flush()
 
-
-def _shared(dealt: DataFrame, parts: int) -> DataFrame:
-    """(key, class, n) for the dealt hashes that classes of comparable size share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
+        out = ["doc_id", "n", "class", "body_hash", "key", "df"]
         for b in batches:
-            for p, *blobs in zip(*(c.to_pylist() for c in b.columns)):
+            ident_type, own = b.column(0).type, b.filter(b.column(5).is_null())
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.nulls(own.num_rows, pa.int64()), pa.nulls(own.num_rows, pa.int32())], out)
+            packed = b.filter(b.column(5).is_valid())
+            for p, *blobs in zip(*(c.to_pylist() for c in packed.columns[4:])):
                 got.setdefault(p, []).append(blobs)
         for p, blobs in got.items():
-            k, c, z = (np.concatenate([np.frombuffer(x[i], t) for x in blobs]) for i, t in enumerate((np.uint32, np.int64, np.int32)))
+            k, c, z = [], [], []
+            for raw, named, sizes in blobs:
+                both = np.frombuffer(raw, np.uint32)
+                no = both[len(both) // 2 :]
+                k.append(both[: len(both) // 2]), c.append(np.frombuffer(named, np.int64)[no]), z.append(np.frombuffer(sizes, np.int32)[no])
             blobs.clear()
+            k, c, z = map(np.concatenate, (k, c, z))
             order = np.lexsort((c, z, k))
             k, c, z = k[order], c[order], z[order]
             new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
             k, c, z = k[new], c[new], z[new]
+            df = np.bincount(np.cumsum(np.append(False, k[1:] != k[:-1])))
+            df = np.repeat(df, df).astype(np.int32)
             near = np.append((k[1:] == k[:-1]) & (4 * z[1:].astype(np.int64) <= 5 * z[:-1].astype(np.int64)), False)  # with the next larger one
             keep = near | np.append(False, near[:-1])
-            k, c, z = k[keep].astype(np.int64) | (np.int64(p) << 32), c[keep], z[keep]
+            k, c, z, df = k[keep].astype(np.int64) | (np.int64(p) << 32), c[keep], z[keep], df[keep]
             for i in range(0, len(k), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (k, c, z)], ["key", "class", "n"])
+                m = len(k[i : i + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, ident_type), pa.array(z[i : i + m]), pa.array(c[i : i + m]), pa.nulls(m, pa.int64()), pa.array(k[i : i + m]), pa.array(df[i : i + m])], out)
 
-    packed = dealt.where("part is not null").select("part", "keys", "classes", "sizes")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, "key long, class long, n int")
+    body = F.col(text).cast("binary")
+    packed = docs.select(F.col(ident), body, F.xxhash64(F.col(text))).mapInArrow(deal, f"doc_id {kind}, n int, class long, body_hash long, part int, keys binary, classes binary, sizes binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(meet, f"doc_id {kind}, n int, class long, body_hash long, key long, df int")
 
 
 class Tree:
@@ -278,11 +278,13 @@ def joined(docs: DataFrame, text: str = "text", ident: str = "doc_id", width: in
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // _PART_BYTES, 100_000))
     dealt = settled(_dealt(docs, ident, text, parts, width), "jaccard-dealt")
-    texts = dealt.where("part is null").select("doc_id", "n", "class", "body_hash")
+    texts = dealt.where("key is null").select("doc_id", "n", "class", "body_hash")
 
-    shared = settled(_shared(dealt, parts), "jaccard-shared")
-    viable = shared.groupBy("class", "n").agg(F.count(F.lit(1)).alias("has")).where(f"has >= {_need('n')}").select("class")
-    shared = settled(shared.join(viable, "class", "left_semi").select("key", "class"), "jaccard-viable")
+    own = Window.partitionBy("class")
+    shared = dealt.where("key is not null").select("key", "class", "n", "df")
+    shared = shared.withColumn("has", F.count(F.lit(1)).over(own)).where(f"has >= {_NEED}")
+    shared = shared.withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), F.desc("key")))).where(f"place >= {_NEED}")
+    shared = settled(shared.select("key", "class"), "jaccard-shared")
     hubs = shared.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub <> top").select("key", "hub")
     near = shared.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
     clusters = components(near).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
