@@ -276,7 +276,8 @@ def joined(docs: DataFrame, text: str = "text", ident: str = "doc_id", width: in
     spark = docs.sparkSession
     small_batches(spark)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // _PART_BYTES, 100_000))
+    size = size if size < 1 << 60 else 0  # a plan without an estimate has the largest number
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // _PART_BYTES, 50_000))
     dealt = settled(_dealt(docs, ident, text, parts, width), "jaccard-dealt")
     texts = dealt.where("key is null").select("doc_id", "n", "class", "body_hash")
 
