@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -71,7 +72,6 @@ def cosine_rate(step: int, warmup: int, total: int, base: float) -> float:
 def mlp_predict(df: DataFrame, x: str, layers: list[tuple[list[list[float]], list[float]]], out: str = "y_pred") -> DataFrame:
     """A stored fully connected network (ReLU between layers) over an array column, in Arrow batches."""
     import numpy as np
-    import pandas as pd
 
     weights = [(np.array(w), np.array(b)) for w, b in layers]
 

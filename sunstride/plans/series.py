@@ -89,11 +89,11 @@ def q_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir).select("site", "ts", *(r8(c).alias(n) for n, c in made.items()))
 
 
-@query(f"WITH {FILLED} SELECT site, ts, " + ", ".join(f"round(avg(cf_input) OVER (PARTITION BY site ORDER BY ts ROWS {n - 1} PRECEDING), 12) AS mean{n}, round(coalesce(stddev_samp(cf_input) OVER (PARTITION BY site ORDER BY ts ROWS {n - 1} PRECEDING), 0), 8) AS std{n}" for n in (4, 16, 96)) + " FROM prepared")
+@query(f"WITH {FILLED} SELECT site, ts, " + ", ".join(f"round(avg(cf_input) OVER (PARTITION BY site ORDER BY ts ROWS {n - 1} PRECEDING), 13) AS mean{n}, round(coalesce(stddev_samp(cf_input) OVER (PARTITION BY site ORDER BY ts ROWS {n - 1} PRECEDING), 0), 10) AS std{n}" for n in (4, 16, 96)) + " FROM prepared")
 def q_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = sequence.over(["site"], "ts")
     made = {f"{k}{n}": f("cf_input", n, w) for n in (4, 16, 96) for k, f in (("mean", sequence.rolling_mean), ("std", sequence.rolling_std))}
-    return prepared(spark, sf_dir).select("site", "ts", *((F.round(c, 12) if n.startswith("mean") else r8(c)).alias(n) for n, c in made.items()))
+    return prepared(spark, sf_dir).select("site", "ts", *(F.round(c, 13 if n.startswith("mean") else 10).alias(n) for n, c in made.items()))
 
 
 @query(f"WITH {LED} SELECT site, ts, target_ts, round(target_y, 8) AS target_y, target_split AS split FROM led")
@@ -114,7 +114,7 @@ SITES = ("click", "error", "purchase", "signup", "view")
     {", ".join(f"avg(cf_input) OVER (PARTITION BY site ORDER BY ts ROWS {n - 1} PRECEDING) AS m{n}, coalesce(stddev_samp(cf_input) OVER (PARTITION BY site ORDER BY ts ROWS {n - 1} PRECEDING), 0) AS s{n}" for n in (4, 16, 96))}
     FROM led WINDOW w AS (PARTITION BY site ORDER BY ts))
     SELECT site, ts, target_split AS split, round(target_y, 8) AS target_y, round(cf_input, 8) AS cf_input, {", ".join(f"round(l{k}, 8) AS cf_input_lag{k}" for k in (1, 4, 8, 96))},
-    {", ".join(f"round(m{n}, 12) AS roll{n}_mean, round(s{n}, 8) AS roll{n}_std" for n in (4, 16, 96))},
+    {", ".join(f"round(m{n}, 13) AS roll{n}_mean, round(s{n}, 10) AS roll{n}_std" for n in (4, 16, 96))},
     round(sin(2 * pi() * (hour(target_ts) * 60 + minute(target_ts)) / 1440), 6) AS target_tod_sin, round(cos(2 * pi() * (hour(target_ts) * 60 + minute(target_ts)) / 1440), 6) AS target_tod_cos,
     round(sin(2 * pi() * dayofyear(target_ts) / 365.25), 6) AS target_doy_sin, round(cos(2 * pi() * dayofyear(target_ts) / 365.25), 6) AS target_doy_cos, 1 AS lead_steps,
     {", ".join(f"(site = '{s}')::INT AS site_{s}" for s in SITES)}
@@ -122,7 +122,7 @@ SITES = ("click", "error", "purchase", "signup", "view")
 def q_tabular_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = features(spark, sf_dir)
     numbers = ["target_y", "cf_input", *(f"cf_input_lag{k}" for k in (1, 4, 8, 96)), *(f"roll{n}_{s}" for n in (4, 16, 96) for s in ("mean", "std")), *(f"target_{x}_{y}" for x in ("tod", "doy") for y in ("sin", "cos"))]
-    return t.select("site", "ts", "split", "lead_steps", *(F.round(c, 12 if c.endswith("_mean") else 6 if c.startswith(("target_tod", "target_doy")) else 8).alias(c) for c in numbers), *(c.cast("int").alias(n) for n, c in one_hot("site", SITES, "site").items()))
+    return t.select("site", "ts", "split", "lead_steps", *(F.round(c, 13 if c.endswith("_mean") else 10 if c.endswith("_std") else 6 if c.startswith(("target_tod", "target_doy")) else 8).alias(c) for c in numbers), *(c.cast("int").alias(n) for n, c in one_hot("site", SITES, "site").items()))
 
 
 @query(f"""WITH {READINGS}, meter AS (SELECT *, sum(power) OVER (PARTITION BY site, date_trunc('day', ts - INTERVAL '1 hour') ORDER BY ts) AS total FROM readings)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import lenient_double, lenient_timestamp, null_if_nan
@@ -87,7 +88,6 @@ def gather_rows(store: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def decode_images(df: DataFrame, image: str = "image.bytes", out: str = "pixels", shape: tuple[int, int, int] = (64, 64, 3)) -> DataFrame:
     """PNG bytes to a flat array of pixels in Arrow batches; needs Pillow on the workers."""
-    import pandas as pd
 
     @F.pandas_udf("array<smallint>")
     def run(raw: pd.Series) -> pd.Series:
