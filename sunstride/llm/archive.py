@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import in_bloom, join_groups, scratch, settled
-from .labelled import small_batches
+from .labelled import lean, small_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2024-01-01T00:00:00Z"  # a fixed time: the tables have none, and reruns agree
@@ -200,7 +200,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, package: int = 64 << 20
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["path", "records", "bytes"])
 
-    return settled(todo.mapInArrow(run, "path string, records long, bytes long"), "warc-packages")
+    return settled(todo.mapInArrow(lean(run), "path string, records long, bytes long"), "warc-packages")
 
 
 def read(packages: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def read(packages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000]), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
     spread = packages.select("path").repartition(max(1, min(packages.count(), 10_000)))
-    return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return spread.mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import in_bloom, settled
-from .labelled import small_batches
+from .labelled import lean, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
-_MEMO = 300_000
+_MEMO = 200_000
 _END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -217,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", iden
                         [ident, "item_id", "bm25", "question_overlap", "answer_overlap", "first_word"],
                     )
 
-        out.append(docs.select(ident, text).mapInArrow(run, schema))
+        out.append(docs.select(ident, text).mapInArrow(lean(run), schema))
     return reduce(DataFrame.unionAll, out)
 
 

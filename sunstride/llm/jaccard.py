@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import in_bloom, settled
 from .components import components
-from .labelled import small_batches
+from .labelled import lean, small_batches
 
 #: Words of a shingle.
 WIDTH = 5
-_FLUSH = 1 << 20  # hashes that a task packs at once
-_MEMO = 300_000
+_FLUSH = 1 << 19  # hashes that a task packs at once
+_MEMO = 200_000
 #: Shingles and members of a cluster that one task takes.
 TASK_SHINGLES, TASK_MEMBERS = 3_000_000, 6000
 _PART_BYTES = 64 << 20
@@ -162,8 +162,8 @@ def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, ident_type), pa.array(z[i : i + m]), pa.array(c[i : i + m]), pa.nulls(m, pa.int64()), pa.array(k[i : i + m]), pa.array(df[i : i + m])], out)
 
     body = F.col(text).cast("binary")
-    packed = docs.select(F.col(ident), body, F.xxhash64(F.col(text))).mapInArrow(deal, f"doc_id {kind}, n int, class long, body_hash long, part int, keys binary, classes binary, sizes binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(meet, f"doc_id {kind}, n int, class long, body_hash long, key long, df int")
+    packed = docs.select(F.col(ident), body, F.xxhash64(F.col(text))).mapInArrow(lean(deal), f"doc_id {kind}, n int, class long, body_hash long, part int, keys binary, classes binary, sizes binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(lean(meet), f"doc_id {kind}, n int, class long, body_hash long, key long, df int")
 
 
 class Tree:
@@ -247,7 +247,7 @@ def _links(rows: DataFrame, width: int) -> DataFrame:
             yield solved()
 
     dealt = rows.select("grp", "class", "body", "asked").repartition(F.col("grp")).sortWithinPartitions("grp", "class")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _large(members: DataFrame, width: int) -> DataFrame:

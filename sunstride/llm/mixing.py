@@ -140,7 +140,7 @@ def materialise(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", *
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.concat(*(F.slice(words, F.col(f"_mix_{x}").cast("int") + 1, (F.col(f"_mix_{y}") - F.col(f"_mix_{x}")).cast("int")) for x, y in ("cd", "ab"))), " ")
     whole = F.transform(F.sequence(F.lit(1), F.col("_mix_whole").cast("int")), lambda _: F.col(text))
-    whole = F.when(F.col("_mix_whole") > 0, whole).otherwise(F.array().cast("array<string>"))
+    whole = F.when((F.col("_mix_whole") > 0) & (F.col("_mix_size") > 0), whole).otherwise(F.array().cast("array<string>"))
     last = F.when(part <= 0, F.array().cast("array<string>")).when(part >= F.col("_mix_size"), F.array(F.col(text))).otherwise(F.array(cut))
     out = rows.withColumn("_mix_text", F.explode(F.concat(whole, last)))
     put = {text: F.col("_mix_text")} | ({n_chars: F.length("_mix_text").cast("long")} if n_chars in columns else {})

@@ -63,6 +63,16 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> keep THEN keep END AS refers_to FROM b
     """,
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        inv AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM inv a JOIN inv b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+                               HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION (SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a))
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM s
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

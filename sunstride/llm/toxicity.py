@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settled
-from .labelled import draw, remainder, scored, small_batches
+from .labelled import draw, lean, remainder, scored, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
 _CACHE = 200_000
@@ -59,15 +59,21 @@ def _counted(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            found = list(counts[0].keys() | counts[1].keys())
+            out = [pa.array(found, pa.string()), pa.array([counts[1][f] for f in found], pa.int64()), pa.array([counts[0][f] for f in found], pa.int64())]
+            counts[0].clear(), counts[1].clear()
+            return pa.RecordBatch.from_arrays(out, ["feature", "p", "u"])
+
         for b in batches:
             for text, positive in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts[positive].update({f for w in set((text or "").split()) for f in word_features(w)})
-        found = list(counts[0].keys() | counts[1].keys())
-        for i in range(0, len(found), 50_000):
-            part = found[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[1][f] for f in part], pa.int64()), pa.array([counts[0][f] for f in part], pa.int64())], ["feature", "p", "u"])
+                if len(counts[0]) + len(counts[1]) > _CACHE:  # partial counts: they are added up after the shuffle
+                    yield flush()
+        yield flush()
 
-    return texts.select("text", "positive").mapInArrow(run, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    return texts.select("text", "positive").mapInArrow(lean(run), "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
 def _rows(sets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", i
             yield pa.RecordBatch.from_arrays([pa.array([feats(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1)], ["has", "positive"])
 
     sets: tuple[list, list] = ([], [])
-    for has, positive in texts.select("text", "positive").mapInArrow(run, "has array<int>, positive int").collect():
+    for has, positive in texts.select("text", "positive").mapInArrow(lean(run), "has array<int>, positive int").collect():
         sets[positive].append(list(has))
     for s in sets:
         s.sort()
@@ -226,4 +232,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
                 memo.append(sent.value.scorer())
             yield b.filter(pa.array(memo[0](b.column("text").to_pylist())["score"] < threshold))
 
-    return docs.mapInArrow(run, docs.schema).select(*columns)
+    return docs.mapInArrow(lean(run), docs.schema).select(*columns)

@@ -4,8 +4,8 @@ A URL is expanded into one expression for each host suffix and each path prefix
 meet rules by the first bytes of their SHA-256, then by the whole digest, and the longest rule decides.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule; an empty path fits
-only rules with an empty path; repeated URLs each get their row; an empty table gives an empty result; columns beyond
-those asked for are kept untouched. Of rules with equal host and path, and of equally long ones, ``block`` wins.
+only rules with an empty path; repeated URLs each get their row; an empty table gives an empty result; other columns
+are kept untouched, but for those named host, path, rule and verdict, which the result replaces. Of rules with equal host and path, and of equally long ones, ``block`` wins.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ def _digest(host: Column, path: Column) -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
     """``pages`` plus host, path, rule (host and path of the rule that decides, else null) and verdict."""
-    parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    made = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns and c != url]
+    parsed = pages.drop(*made).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     listed = (
         rules.groupBy("rule_host", "rule_path").agg(F.max(F.col("verdict") == "block").alias("blocks"))
         .withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path")))
