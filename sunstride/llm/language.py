@@ -40,19 +40,22 @@ class Model:
         self.languages = languages
         self.log = temper * (np.log(counts + smooth) - np.log(counts.sum(axis=1, keepdims=True) + smooth * _BUCKETS))
         self.memo: dict[str, int] = {}
-        self.table: list[np.ndarray] = []
+        self.used, self.table = 0, np.empty((1 << 12, len(languages)))  # likelihoods of remembered words, the greatest of each as 1
 
     def words(self, text: str | None) -> list[int]:
         """Rows of the likelihood table for the words that have letters."""
-        memo, table, out = self.memo, self.table, []
+        memo, out = self.memo, []
         for w in (text or "").split():
             k = memo.get(w)
             if k is None:
                 grams = trigrams(w)
                 if grams:
+                    if self.used == len(self.table):
+                        self.table = np.concatenate([self.table, np.empty_like(self.table)])
                     v = self.log[:, grams].sum(axis=1)
-                    memo[w] = k = len(table)
-                    table.append(v - v.max())
+                    memo[w] = k = self.used
+                    self.table[k] = np.exp(v - v.max())
+                    self.used += 1
                 else:
                     memo[w] = k = -1
             if k >= 0:
@@ -61,15 +64,16 @@ class Model:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the proportions of the kept set (zero elsewhere), and whether it has a letter."""
+        if not self.languages:
+            return np.zeros((0, len(texts))), np.zeros(len(texts), bool)
         if len(self.memo) > _CACHE:
-            self.memo, self.table = {}, []
+            self.memo, self.used = {}, 0
         rows = [self.words(t) for t in texts]
         n = np.array([len(r) for r in rows])
         out, has = np.zeros((len(self.languages), len(texts))), n > 0
-        if self.languages and has.any():
+        if has.any():
             flat = np.concatenate([np.array(r, dtype=np.int64) for r in rows if r])
-            like = np.exp(np.stack(self.table).T)[:, flat]
-            out[:, has] = infer(like, n[has])
+            out[:, has] = infer(np.ascontiguousarray(self.table[flat].T), n[has])
         return out, has
 
 
