@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import base64
 import json
-import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import scratch, settled
-from .labelled import small_batches
+from .labelled import lean, small_batches
 
 #: Where the vocabulary's rank file lies on the driver, and the pattern that belongs to it.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50_256
 _MEMO = 300_000
-_ODD_SPACE = re.compile(r" \s|\s |\A | \Z")
+_PACK = 4 << 20  # bytes of ids that are packed together: larger packs compress better
+
+
+class _OddSpace(Exception):
+    """White space next to a blank: the text is tokenised as a whole."""
 
 
 class Tokenizer(dict):
@@ -48,9 +53,14 @@ class Tokenizer(dict):
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(text), "<u2").tobytes()
+        ids = array("H", self.coder.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _OddSpace
         if len(self) > _MEMO:
             self.clear()
         self[word] = ids = self._ids(" " + word)
@@ -59,11 +69,13 @@ class Tokenizer(dict):
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
-            return self._ids(text)
-        # no merge reaches across a single blank between words, so each word's ids are its own
         first, *words = text.split(" ")
-        return self._ids(first) + b"".join(map(self.__getitem__, words))
+        if not first or first[-1].isspace():
+            return self._ids(text)
+        try:  # no merge reaches across a single blank between words, so each word's ids are its own
+            return self._ids(first) + b"".join(map(self.__getitem__, words))
+        except _OddSpace:
+            return self._ids(text)
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -111,35 +123,41 @@ def _tokenised(docs: DataFrame, text: str, ident: str, length: int, ranks: str)
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pack, end = Tokenizer(sent.value), zstandard.ZstdCompressor(level=3), np.array([END], "<u2").tobytes()
-        done, rest = 0, b""
+        coder, pack, end = Tokenizer(sent.value), zstandard.ZstdCompressor(level=6), np.array([END], "<u2").tobytes()
+        done, parts, held = 0, [], 0  # sequences packed; ids not yet packed, and their bytes
         names = ["doc_id", "n_tokens", "seq", "at", "count", "tokens"]
+        ident_type = None
+
+        def packed(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal done, parts, held
+            ids = b"".join(parts)
+            if last and len(ids) % (2 * length):
+                ids += end * (length - len(ids) // 2 % length)
+            n = len(ids) // (2 * length)
+            if n:
+                blob = pack.compress(ids[: n * 2 * length])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, ident_type), pa.nulls(1, pa.int64()), pa.array([done], pa.int64()), pa.nulls(1, pa.int32()), pa.array([n], pa.int32()), pa.array([blob], pa.binary())], names)
+            parts, done = [ids[n * 2 * length :]], done + n
+            held = len(parts[0])
 
-        def packed(ids: bytes, n: int, ident_type: pa.DataType) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(1, ident_type), pa.nulls(1, pa.int64()), pa.array([done], pa.int64()), pa.nulls(1, pa.int32()), pa.array([n], pa.int32()), pa.array([pack.compress(ids)], pa.binary())], names)
-
-        kind_ = None
         for b in batches:
-            kind_ = b.column(0).type
-            parts, sizes = [rest], []
+            ident_type, begin, sizes = b.column(0).type, [], []
             for body in b.column(1).to_pylist():
                 ids = coder(body)
                 parts += (ids, end)
+                begin.append(held // 2)
                 sizes.append(len(ids) // 2)
-            begin = len(rest) // 2 + np.append(0, np.cumsum(np.array(sizes, np.int64) + 1))[:-1]
-            m = len(sizes)
+                held += len(ids) + 2
+            at, m = np.array(begin, np.int64), len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(done + begin // length, pa.int64()), pa.array(begin % length, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(done + at // length, pa.int64()), pa.array(at % length, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names
             )
-            held = b"".join(parts)
-            n = len(held) // (2 * length)
-            if n:
-                yield packed(held[: n * 2 * length], n, kind_)
-            rest, done = held[n * 2 * length :], done + n
-        if rest:
-            yield packed(rest + end * (length - len(rest) // 2), 1, kind_)
+            if held >= _PACK:
+                yield from packed(False)
+        if held:
+            yield from packed(True)
 
-    out = docs.select(ident, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, seq long, at int, count int, tokens binary")
+    out = docs.select(ident, text).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, seq long, at int, count int, tokens binary")
     return settled(out.withColumn("task", F.spark_partition_id()), "tokens")
 
 
@@ -188,10 +206,10 @@ def _write_shards(packs: DataFrame, n: int, feistel: Feistel, folder: str, per_s
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "sequences", "crc32"])
 
-    dealt = packs.mapInArrow(deal, "shard int, places binary, tokens binary")
+    dealt = packs.mapInArrow(lean(deal), "shard int, places binary, tokens binary")
     tasks = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_range = dealt.repartitionById(tasks, F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
-    return settled(by_range.mapInArrow(write, "shard int, path string, sequences long, crc32 long"), "shards")
+    return settled(by_range.mapInArrow(lean(write), "shard int, path string, sequences long, crc32 long"), "shards")
 
 
 def materialised(
