@@ -114,7 +114,6 @@ def best_by_group(ledger: DataFrame, group: str = "task") -> DataFrame:
     wide = ledger.groupBy(group, "model").pivot("metric", ["acc_rmse", "rmse"]).agg(F.first("value"))
     ranked = wide.groupBy(group).agg(
         F.count("acc_rmse").alias("_n"),
-        F.min_by("model", F.struct(-F.col("acc_rmse"), F.col("model"))).alias("_a"),
         F.min_by("model", F.struct(F.col("rmse"), F.col("model"))).alias("_b"),
         F.min(F.when(F.col("acc_rmse").isNotNull(), F.struct(-F.col("acc_rmse"), F.col("model")))).alias("_first"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from sunstride import cli
 from sunstride.functions import capacity_factor, clear_sky_index, clip, clip_low, in_range, local_time, null_if_nan, one_hot, split_by_cuts, valid_power, zscore
-from sunstride.operators import baselines, forecast_windows, grid, impute, metrics, models, quality, scale, sequence, splits, stats
+from sunstride.operators import baselines, forecast_windows, grid, impute, loader, metrics, models, quality, scale, sequence, splits, stats
 from sunstride.sources import config, scans, sinks
 
 T0 = datetime(2017, 6, 1, 7)
@@ -332,6 +332,24 @@ def test_ledgers(spark):
     assert best == {"t": ("a", "acc_rmse"), "e / single task": ("c", "rmse")}
 
 
+def test_samples_and_their_order(spark):
+    days = spark.createDataFrame([(T0.date(), "train")], "date date, split string")
+    windows = forecast_windows.valid_windows(forecast_windows.window_index(store(spark), days, 15, 1, 15, {"train": 1}))
+    s = loader.sample(windows)
+    a, b = ([r["sample_index"] for r in loader.epoch(x, 1).collect()] for x in (s, s.repartition(5)))
+    assert a == b and sorted(a) == list(range(10)) and a != sorted(a)
+    r = s.where("sample_index = 0").first()
+    assert len(r["pv_history"]) == 16 and r["target_time"] - r["issue_time"] == 900 * 10**9 and r["target"] == [30.0]
+    d = spark.createDataFrame([([[1, 2], [3, 4]], [5.0, 6.0])], "i array<array<int>>, h array<double>")
+    assert one(d.select(loader.stack_channels("i"), loader.sequence_input("h"))) == [([1, 2, 3, 4], [[5.0], [6.0]])]
+
+
+def test_images_become_channels(spark):
+    d = spark.createDataFrame([([0, 51, 102, 255, 204, 153],)], "p array<smallint>")
+    got = d.select(scans.channels_first("p"), scans.brightness("p")).first()
+    assert got[0] == pytest.approx([0.0, 1.0, 0.2, 0.8, 0.4, 0.6]) and got[1] == 127.5
+
+
 def test_streams(spark, tmp_path):
     from sunstride.streaming import stream_ramps, stream_readings, stream_thinned
 
