@@ -14,23 +14,31 @@ of equal proportions the language that is first by code point wins; null identif
 from __future__ import annotations
 
 from collections import Counter
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .labelled import remainder, scored
 
-_BUCKETS, _CACHE = 1 << 16, 200_000
+_BUCKETS, _CACHE = 1 << 16, 400_000
+
+
+def letters(word: str) -> str:
+    return "".join(filter(str.isalpha, word.lower()))
+
+
+def grams(words: list[str]) -> np.ndarray:
+    """Buckets of the trigrams of words between blanks, one for each letter, word after word; words have letters only."""
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + c[2:]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(48)).astype(np.int64)[c[1:-1] != 32]
 
 
 def trigrams(word: str) -> list[int]:
-    """Buckets of the trigrams of a word's letters between blanks; none without a letter."""
-    w = "".join(c for c in word.lower() if c.isalpha())
-    if not w:
-        return []
-    w = f" {w} "
-    return [crc32(w[i : i + 3].encode()) % _BUCKETS for i in range(len(w) - 2)]
+    """Buckets of one word's trigrams; none without a letter."""
+    w = letters(word)
+    return grams([w]).tolist() if w else []
 
 
 class Model:
@@ -42,25 +50,19 @@ class Model:
         self.memo: dict[str, int] = {}
         self.used, self.table = 0, np.empty((1 << 12, len(languages)))  # likelihoods of remembered words, the greatest of each as 1
 
-    def words(self, text: str | None) -> list[int]:
-        """Rows of the likelihood table for the words that have letters."""
-        memo, out = self.memo, []
-        for w in (text or "").split():
-            k = memo.get(w)
-            if k is None:
-                grams = trigrams(w)
-                if grams:
-                    if self.used == len(self.table):
-                        self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                    v = self.log[:, grams].sum(axis=1)
-                    memo[w] = k = self.used
-                    self.table[k] = np.exp(v - v.max())
-                    self.used += 1
-                else:
-                    memo[w] = k = -1
-            if k >= 0:
-                out.append(k)
-        return out
+    def learn(self, words: list[str]) -> None:
+        """Adds words to the memo: their rows in the table, or -1 for those without a letter."""
+        bare = [letters(w) for w in words]
+        kept = [b for b in bare if b]
+        if kept:
+            each = self.log[:, grams(kept)]
+            sums = np.add.reduceat(each, np.append(0, np.cumsum([len(b) for b in kept])[:-1]), axis=1).T
+            while self.used + len(kept) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[self.used : self.used + len(kept)] = np.exp(sums - sums.max(axis=1, keepdims=True))
+        for w, b in zip(words, bare):
+            self.memo[w] = self.used if b else -1
+            self.used += bool(b)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the proportions of the kept set (zero elsewhere), and whether it has a letter."""
@@ -68,12 +70,14 @@ class Model:
             return np.zeros((0, len(texts))), np.zeros(len(texts), bool)
         if len(self.memo) > _CACHE:
             self.memo, self.used = {}, 0
-        rows = [self.words(t) for t in texts]
+        words = [(t or "").split() for t in texts]
+        self.learn(list(set().union(*words) - self.memo.keys()))
+        rows = [np.fromiter(map(self.memo.__getitem__, w), np.int64, len(w)) for w in words]
+        rows = [r[r >= 0] for r in rows]
         n = np.array([len(r) for r in rows])
         out, has = np.zeros((len(self.languages), len(texts))), n > 0
         if has.any():
-            flat = np.concatenate([np.array(r, dtype=np.int64) for r in rows if r])
-            out[:, has] = infer(np.ascontiguousarray(self.table[flat].T), n[has])
+            out[:, has] = infer(np.ascontiguousarray(self.table[np.concatenate(rows)].T), n[has])
         return out, has
 
 
@@ -81,7 +85,8 @@ def _em(like: np.ndarray, starts: np.ndarray, n: np.ndarray, allowed: np.ndarray
     """Proportions [languages, texts] and log-likelihoods, over the allowed languages of each text."""
     pi = allowed / allowed.sum(axis=0)
     for _ in range(rounds):
-        joint = like * np.repeat(pi, n, axis=1)
+        joint = np.repeat(pi, n, axis=1)
+        joint *= like
         joint /= np.maximum(joint.sum(axis=0), 1e-300)
         pi = np.add.reduceat(joint, starts, axis=1) / n
     total = (like * np.repeat(pi, n, axis=1)).sum(axis=0)
