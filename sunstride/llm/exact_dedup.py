@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import in_bloom, scratch, settled
+from .common import in_bloom, join_groups, scratch, settled
 
 #: Copies that share one task at most when bytes are compared: larger groups are dealt over several.
 COPIES_A_TASK = 500
@@ -29,7 +29,6 @@ def sha256(text: Column) -> Column:
 def _held(spark: SparkSession, path: str, of: list[Column], state: str, files: int) -> DataFrame:
     """Runs the stream over the files that ``state`` hasn't seen; the state as a table."""
     schema = spark.read.parquet(path).schema
-    _, _, name = path.rpartition("/")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
@@ -72,14 +71,14 @@ def exact_dedup(
     rows = spark.read.parquet(path).select(place.alias("place"), digest(body).alias("digest"), sha256(body).alias("text_sha256"), body.alias("body"))
     several = held.where("n > 1")
     # only texts whose digest several rows share are moved and compared
-    hits = rows.where(in_bloom(several, F.xxhash64("digest"), F.xxhash64("digest"))).join(several, "digest")
+    hits = join_groups(rows.where(in_bloom(several, F.xxhash64("digest"), F.xxhash64("digest"))), "digest", F.col("place"), several)
     hits = hits.withColumn("part", F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / COPIES_A_TASK)).cast("int"))
     first = hits.where("place = keep").select(F.col("digest").alias("d"), F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / COPIES_A_TASK) - 1).cast("int"))).alias("p"))
     odd = hits.join(first, (F.col("digest") == F.col("d")) & (F.col("part") == F.col("p"))).where("body <> kept_body")
     odd = settled(odd.select("digest", "place", "body"), "dedup-odd")
 
     narrow = rows.select("place", "digest", "text_sha256")
-    out = narrow.join(held, "digest")
+    out = join_groups(narrow, "digest", F.col("place"), held)
     if not odd.isEmpty():  # different bytes under one digest: all rows of that digest are grouped by their bytes
         mixed = odd.select("digest").distinct()
         again = rows.join(mixed, "digest", "left_semi")
