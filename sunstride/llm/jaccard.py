@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import in_bloom, settled
+from .common import in_bloom, join_groups, settled
 from .components import components
 from .labelled import lean, small_batches
 
@@ -304,10 +304,13 @@ def joined(docs: DataFrame, text: str = "text", ident: str = "doc_id", width: in
         links = links.unionByName(_large(settled(members.where("parts > 1"), "jaccard-large"), width))
     roots = components(links)
 
-    own = texts.join(roots, (F.col("class") == F.col("node")) & (F.col("n") > 0), "left").withColumn("tie", F.coalesce("root", "class"))
-    least = own.where("n > 0").groupBy("tie").agg(F.min("doc_id").alias("least")).withColumnRenamed("tie", "of")
-    out = own.join(least, (F.col("tie") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select(F.col("doc_id").alias(ident), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = texts.join(roots, (F.col("class") == F.col("node")) & (F.col("n") > 0), "left")
+    own = settled(own.select("doc_id", "n", "body_hash", F.coalesce("root", "class").alias("tie")), "jaccard-ties")
+    least = settled(own.where("n > 0").groupBy("tie").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "jaccard-least")
+    # a group of copies may hold a third of all rows: its rows are dealt over tasks
+    tied = join_groups(own.where("n > 0"), "tie", F.struct("doc_id", "body_hash"), least, "rows").select("doc_id", "n", "least")
+    out = tied.unionByName(own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("least")))
+    return out.select(F.col("doc_id").alias(ident), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
