@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+#: Plans of less than this a task are dealt over all tasks.
+_TASK_BYTES = 4 << 20
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,6 +49,12 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all tasks if it is small and so may lie in a single file; the rows are the same."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < tasks * _TASK_BYTES else df
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words (see WORD) as a long; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text

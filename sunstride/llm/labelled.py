@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import spread
+
 #: Texts that a Python worker holds at once.
 BATCH_ROWS = 500
 
@@ -37,14 +39,27 @@ def remainder(ident: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def draw(docs: DataFrame, ids: DataFrame, rows: int, columns: list[str], ident: str = "doc_id", seed: int = 5) -> DataFrame:
-    """``docs`` rows of at most ``rows`` identifiers of ``ids``, those whose seeded hash is lowest, with ``columns`` of ids.
+def lowest(share: float) -> int:
+    """What the lowest ``share`` of 64-bit hashes lie below."""
+    return min(2**63 - 1, int(-(2**63) + 2**64 * share)) if share < 1 else 2**63 - 1
+
+
+def draw(docs: DataFrame, ids: DataFrame, rows: int, label: str | None, ident: str = "doc_id", seed: int = 5, text: str = "text") -> DataFrame:
+    """(ident, text, ``label``) of at most ``rows`` identifiers of ``ids``, those whose seeded hash is lowest.
 
-    The bound makes the broadcast safe: ``rows`` identifiers and as many values, whatever the corpus.
+    A hash threshold from the number of identifiers comes first, so that only about ``rows`` of them are ever sorted. The
+    bound makes the broadcast safe. Of an identifier's conflicting labels the least counts, and of its rows the text with the least hash:
+    a row an identifier, however often it repeats.
     """
-    picked = ids.where(F.col(ident).isNotNull()).select(F.col(ident).alias("_id"), *columns).distinct().dropDuplicates(["_id"])
-    picked = picked.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(rows)
-    return docs.join(F.broadcast(picked), F.col(ident) == F.col("_id")).drop("_id")
+    near, known = F.xxhash64(F.lit(seed), ident), ids.where(F.col(ident).isNotNull())
+    some = known.agg(F.approx_count_distinct(ident)).first()[0]
+    if some > 2 * rows:  # the lowest share of the hashes, with more room than the estimate and chance can need
+        known = known.where(near < F.lit(lowest((1.3 * rows + 200) / some)))
+    picked = known.groupBy(F.col(ident).alias("_id")).agg(*([F.min(label).alias("_label")] if label else []), F.min(near).alias("_near"))
+    picked = picked.orderBy("_near", "_id").limit(rows).drop("_near")
+    found = docs.select(F.col(ident).alias("_own"), F.col(text).alias("_text")).join(F.broadcast(picked), F.col("_own") == F.col("_id"))
+    one = found.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias(text), *([F.first("_label").alias(label)] if label else []))
+    return one.withColumnRenamed("_id", ident)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -62,4 +77,4 @@ def scored(docs: DataFrame, score: Callable[[list[str | None]], dict[str, np.nda
                 found = score(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in found.values())], [ident, *found])
 
-    return docs.select(ident, text).mapInArrow(lean(run), f"`{ident}` {kind}, {schema}")
+    return spread(docs.select(ident, text)).mapInArrow(lean(run), f"`{ident}` {kind}, {schema}")

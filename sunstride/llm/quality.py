@@ -7,7 +7,8 @@ different words. The network is trained on the sample, the temperature on a part
 
 Bounds: ``rows`` labelled rows, spread by a seeded hash, fit everything; items share 2**14 buckets. Every row is scored
 over its whole text. Defined results: null and empty texts have the zero vector and the score that the network gives it;
-without labels every score is 0.5; null identifiers are never learned from; repeated rows get a row each.
+without labels every score is 0.5; null identifiers are never learned from; of a document's conflicting labels the lower
+counts; rows that repeat an identifier are learned from once and scored each; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", ident: str = "doc_id", label: str = "quality", rows: int = 8000) -> tuple[np.ndarray, Network] | None:
     """Word vectors and network from at most ``rows`` labelled rows; None without any."""
     known = labels.where(F.col(label).isin(0, 1) & learn)
-    drawn = draw(docs.select(ident, text), known, rows, [label], ident)
+    drawn = draw(docs, known, rows, label, ident, text=text)
     words, sets, y = Words(), [], []
     for _, body, mark in drawn.orderBy(F.xxhash64(F.lit(8), ident), text).toLocalIterator():
         sets.append(words(body))

@@ -1,21 +1,26 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; other texts of the training rows, whatever their label, are unlabelled. A text
-is the set of its words and their beginnings (so inflected forms meet), reduced to those that positives have clearly
-oftener than unlabelled texts. The share of positives among the unlabelled is estimated from how much oftener; numpy
-networks without a hidden layer then minimise the risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)),  by Adam from a few
-bootstraps, and their mean gives the score.
-
-Bounds: ``positives`` and ``unlabelled`` rows and ``features`` at most are used to fit. Every row is scored over its whole text.
-Defined results: null and empty texts get the score of a text without any feature; without positives, or without a word that tells them apart, every score is 0;
-a null identifier counts as not held out and is never learned from; repeated rows get a row each; extra columns are not read.
+Confirmed toxic texts are the positives; rows drawn from all training rows, whatever their label, are unlabelled. A text
+is the vector of its different words' root counts over the root of its length, and a word adds its value to the buckets of
+its bare form and of its beginnings (so inflected forms meet), among 2**20. Every bucket enters the learner at the scale of its log
+ratio between positives and unlabelled, shrunk by two standard errors and by ``shrink`` (else a language that positives
+favour, or one toxic text with many copies, would speak through thousands of buckets). Scores that folds give each other
+estimate the class prior, and the slope and the bias at which training begins; numpy then minimises
+pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  over the weights of all buckets, by Adam.
+
+Bounds: ``positives`` and ``unlabelled`` rows at most are used to fit. Every row is scored over its whole text.
+Defined results: null and empty texts get the score of a text without any bucket; without positives, or without a bucket that
+tells them apart, every score is 0; a null identifier counts as not held out and is never learned from; a document with both
+labels is a positive; rows that repeat an identifier are learned from once and scored each; extra columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
+from math import sqrt
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,82 +30,56 @@ from .common import settled
 from .labelled import draw, lean, remainder, scored, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
-_CACHE = 200_000
+_CACHE, _BUCKETS, _FOLDS = 200_000, 1 << 20, 3
 
 
-def word_features(word: str) -> tuple[str, ...]:
-    """The bare lower-case word and its beginnings of 4 to 7 characters."""
+def word_features(word: str) -> tuple[int, ...]:
+    """Buckets of the bare lower-case word and of its beginnings of 4 to 7 characters."""
     w = word.strip(_EDGE).lower()
-    return (w, *(w[:n] + "*" for n in range(4, 8) if len(w) > n)) if w else ()
+    return tuple(crc32(x.encode()) % _BUCKETS for x in (w, *(w[:n] + "*" for n in range(4, 8) if len(w) >= n))) if w else ()
 
 
-class Features:
-    """From a text to the numbers of the chosen features that it has."""
+class _Features(dict):
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        self[word] = found = word_features(word)
+        return found
 
-    def __init__(self, chosen: list[str]):
-        self.number = {f: i for i, f in enumerate(chosen)}
-        self.of_word: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> list[int]:
-        if len(self.of_word) > _CACHE:  # only a memo
-            self.of_word.clear()
-        memo, found = self.of_word, set()
-        for w in set((text or "").split()):
-            has = memo.get(w)
-            if has is None:
-                has = memo[w] = tuple(self.number[f] for f in word_features(w) if f in self.number)
-            if has:
-                found.update(has)
-        return sorted(found)
+def vector(text: str | None, features: _Features) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text in order and their values."""
+    if len(features) > _CACHE:  # only a memo
+        features.clear()
+    count = Counter((text or "").split())
+    each = list(map(features.__getitem__, count))
+    flat = np.fromiter((f for e in each for f in e), np.int32, sum(map(len, each)))
+    value = np.repeat(np.sqrt(np.fromiter(count.values(), float, len(count)) / max(1, sum(count.values()))), [len(e) for e in each])
+    found, at = np.unique(flat, return_inverse=True)
+    return found, np.bincount(at, weights=value, minlength=len(found)).astype(np.float32)
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """(feature, p, u): in how many positives and unlabelled texts it occurs; texts has columns text and positive."""
+def _vectors(texts: DataFrame, ident: str) -> DataFrame:
+    """(positive, fold, mark, bucket array, value array) of each row of text and positive; mark only orders the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        features = _Features()
+        for b in batches:
+            found = [vector(t, features) for t in b.column(0).to_pylist()]
+            lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *lists], ["positive", "fold", "mark", "bucket", "value"])
 
-        def flush() -> pa.RecordBatch:
-            found = list(counts[0].keys() | counts[1].keys())
-            out = [pa.array(found, pa.string()), pa.array([counts[1][f] for f in found], pa.int64()), pa.array([counts[0][f] for f in found], pa.int64())]
-            counts[0].clear(), counts[1].clear()
-            return pa.RecordBatch.from_arrays(out, ["feature", "p", "u"])
+    mark = F.xxhash64(F.lit(9), ident)
+    rows = texts.select("text", "positive", F.pmod(mark, F.lit(_FOLDS)).cast("int"), mark)
+    return rows.mapInArrow(lean(run), "positive int, fold int, mark long, bucket array<int>, value array<float>")
 
-        for b in batches:
-            for text, positive in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[positive].update({f for w in set((text or "").split()) for f in word_features(w)})
-                if len(counts[0]) + len(counts[1]) > _CACHE:  # partial counts: they are added up after the shuffle
-                    yield flush()
-        yield flush()
-
-    return texts.select("text", "positive").mapInArrow(lean(run), "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-
-
-def _rows(sets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.array(s, dtype=np.int64) for s in sets] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-
-
-def covering(sets: list[list[int]], features: int, times: int = 4) -> list[int]:
-    """Features, picked greedily, until no other adds two positives (and a five-hundredth) that have less than ``times`` of them.
-
-    Words that positives share only because they are copies of each other add nothing to the words that mark them.
-    """
-    cols, rows = _rows(sets)
-    by = np.split(rows[np.argsort(cols, kind="stable")], np.cumsum(np.bincount(cols, minlength=features))[:-1])
-    need, out = np.full(len(sets), times), []
-    heap = [(-len(r), f) for f, r in enumerate(by)]
-    heapq.heapify(heap)
-    while heap:
-        _, f = heapq.heappop(heap)
-        gain = int((need[by[f]] > 0).sum())
-        if gain < max(2, len(sets) / 500):
-            continue
-        if heap and gain < -heap[0][0]:
-            heapq.heappush(heap, (-gain, f))
-            continue
-        need[by[f]] -= 1
-        out.append(f)
-    return sorted(out)
+
+def _ratio(p: Column, u: Column, n_p: int, n_u: int, shrink: float) -> Column:
+    """The log ratio of the shares of positives and unlabelled rows that have a bucket, shrunk towards 0."""
+    ratio = F.log((p / n_p + 1 / n_p) / (u / n_u + 1 / n_p))
+    return F.signum(ratio) * F.greatest(F.abs(ratio) - 2 * F.sqrt(1 / (p + 1) + 1 / (u + 1)) - shrink, F.lit(0.0))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def class_prior(p: np.ndarray, u: np.ndarray) -> float:
@@ -112,92 +91,142 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(best, 1e-4, 0.5))
 
 
-def fit_nnpu(p: list[list[int]], u: list[list[int]], features: int, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> np.ndarray:
-    """Weights and, last, the bias, of the classifier with the least non-negative risk under the logistic loss."""
-    pick = np.random.default_rng(seed)
-    w = np.zeros(features + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    (pc, pr), (uc, ur) = _rows(p), _rows(u)
-    pw, uw = pick.multinomial(len(p), np.full(len(p), 1 / len(p))) / len(p), pick.multinomial(len(u), np.full(len(u), 1 / len(u))) / len(u)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    soft = lambda z: np.logaddexp(0, z)
+class Sparse:
+    """Rows of (column, value) and their linear maps."""
+
+    def __init__(self, cols: list[np.ndarray], values: list[np.ndarray], width: int):
+        self.rows, self.width = len(cols), width
+        self.col = np.concatenate([np.asarray(c, np.int64) for c in cols] or [np.zeros(0, np.int64)])
+        self.value = np.concatenate([np.asarray(v, float) for v in values] or [np.zeros(0)])
+        self.row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col] * self.value, minlength=self.rows)
 
-    def back(cols: np.ndarray, rows: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(cols, weights=g[rows], minlength=features), g.sum())
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=g[self.row] * self.value, minlength=self.width)
 
+
+def fit_nnpu(p: Sparse, u: Sparse, w: np.ndarray, bias: float, prior: float, rounds: int, rate: float | np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias after ``rounds`` steps of Adam (``rate`` for each weight, its last entry for the bias) on the non-negative risk under the logistic loss."""
+    w = np.append(w, bias)
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        zp = np.bincount(pr, weights=w[pc], minlength=len(p)) + w[-1]
-        zu = np.bincount(ur, weights=w[uc], minlength=len(u)) + w[-1]
-        negative = uw @ soft(zu) - prior * (pw @ soft(zp))
-        g_neg = back(uc, ur, uw * sig(zu)) - prior * back(pc, pr, pw * sig(zp))
-        g_pos = -prior * back(pc, pr, pw * sig(-zp))
-        g = g_pos + g_neg if negative >= 0 else -g_neg  # where the corrected risk falls below zero, only that is undone
-        g[:-1] += decay * prior * w[:-1]
+        zp, zu = p.dot(w) + w[-1], u.dot(w) + w[-1]
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        wrong, low, high = prior * sigmoid(-zp) / p.rows, prior * sigmoid(zp) / p.rows, sigmoid(zu) / u.rows
+        gp, gu = (-wrong - low, high) if negative >= 0 else (low, -high)  # where the corrected risk falls below zero, only that is undone
+        g = np.append(p.back(gp) + u.back(gu), gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
+    return w[:-1], float(w[-1])
 
 
 class Model:
-    """Chosen features, class prior and the weights of each bootstrap."""
+    """Buckets with a weight, their weights, the bias and the class prior."""
 
-    def __init__(self, chosen: list[str], prior: float, weights: np.ndarray):
-        self.chosen, self.prior, self.weights = chosen, prior, weights
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: float, prior: float):
+        self.buckets, self.weights, self.bias, self.prior = buckets, weights, bias, prior
 
     def scorer(self):
-        feats, w = Features(self.chosen), self.weights
+        weight = np.zeros(_BUCKETS)
+        weight[self.buckets] = self.weights
+
+        class Words(dict):
+            def __missing__(self, word: str) -> float:
+                self[word] = w = float(sum(weight[f] for f in word_features(word)))
+                return w
+
+        words = Words()
+
+        def one(text: str | None) -> float:
+            count = Counter((text or "").split())
+            if not count:
+                return 0.0
+            has = np.fromiter(map(words.__getitem__, count), float, len(count))
+            at = np.flatnonzero(has)
+            if not len(at):
+                return 0.0
+            return float(has[at] @ np.sqrt(np.fromiter(count.values(), float, len(count))[at])) / sqrt(sum(count.values()))
 
         def score(texts: list[str | None]) -> dict[str, np.ndarray]:
-            if not len(w):
+            if not len(self.weights):
                 return {"score": np.zeros(len(texts))}
-            cols, rows = _rows([feats(t) for t in texts])
-            z = np.stack([np.bincount(rows, weights=one[cols], minlength=len(texts)) + one[-1] for one in w])
-            return {"score": np.mean(1 / (1 + np.exp(-np.clip(z, -40, 40))), axis=0)}
+            if len(words) > _CACHE:
+                words.clear()
+            return {"score": sigmoid(np.array([one(t) for t in texts]) + self.bias)}
 
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", ident: str = "doc_id", label: str = "toxic", positives: int = 6000, unlabelled: int = 12000, features: int = 8192, bootstraps: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", ident: str = "doc_id", label: str = "toxic", positives: int = 6000, unlabelled: int = 12000, shrink: float = 0.4, rounds: int = 200) -> Model:
     """``learn`` says, from the identifier, which rows may be learned from."""
+    nothing = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0)
     small_batches(docs.sparkSession)
     own = docs.select(ident, F.col(text).alias("text")).where(learn)
-    known = draw(own, labels.where((F.col(label) == 1) & learn), positives, [], ident).select("text", F.lit(1).alias("positive"))
-    other = draw(own, own, unlabelled, [], ident, seed=6).select("text", F.lit(0).alias("positive"))
-    texts = known.unionByName(other)
-    sizes = {r[0]: r[1] for r in texts.groupBy("positive").count().collect()}
-    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_p or not n_u:
-        return Model([], 0.0, np.zeros((0, 1)))
-    # what only positives have is 1 / prior times as frequent in them; half of the highest such ratio is asked for, at
-    # least 2, and 3.5 standard deviations above what twice the unlabelled rate explains
-    often = settled(_counted(texts).where("p >= 3").withColumn("a", F.col("p") / n_p).withColumn("b", (F.col("u") + 1) / n_u), "toxic-counts")
-    expected = 2 * n_p * F.col("b")
-    top = often.where(F.col("p") >= max(10, n_p // 100)).agg(F.max((F.col("p") - F.sqrt("p")) / n_p / F.col("b"))).first()[0] or 4.0
-    often = often.where(F.col("a") >= max(2.0, top / 2) * F.col("b"))
-    gain = F.col("a") * F.log((F.col("a") + 0.5 / n_p) / (F.col("b") + 0.5 / n_p))
-    chosen = [r[0] for r in often.where(F.col("p") - expected >= 3.5 * F.sqrt(expected + 1)).orderBy(gain.desc(), "feature").limit(features).collect()]
-    if not chosen:
-        return Model([], 0.0, np.zeros((0, 1)))
-    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+    known = draw(own, labels.where((F.col(label) == 1) & learn), positives, None, ident).select(ident, "text", F.lit(1).alias("positive"))
+    other = draw(own, own, unlabelled, None, ident, seed=6).select(ident, "text", F.lit(0).alias("positive"))
+    rows = settled(_vectors(known.unionByName(other), ident), "toxic-vectors")
+    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("positive", "fold").agg(F.count(F.lit(1))).collect()}
+    n = [[sizes.get((y, k), 0) for k in range(_FOLDS)] for y in (0, 1)]
+    if any(min(x) == 0 for x in n):  # a fold without either kind
+        return nothing
+    counts = rows.select("positive", "fold", F.explode("bucket").alias("bucket")).groupBy("bucket").agg(
+        *(F.count_if((F.col("positive") == y) & (F.col("fold") == k)).alias(f"c{y}{k}") for y in (0, 1) for k in range(_FOLDS))
+    )
+
+    def scale(without: int | None) -> Column:
+        count = lambda y: sum((F.col(f"c{y}{k}") for k in range(_FOLDS) if k != without), F.lit(0))
+        size = lambda y: sum(x for k, x in enumerate(n[y]) if k != without)
+        return _ratio(count(1), count(0), size(1), size(0), shrink)
+
+    scales = counts.select("bucket", *(scale(k).alias(f"s{k}") for k in range(_FOLDS)), scale(None).alias("s"))
+    live = scales.where(" OR ".join(f"{c} <> 0" for c in scales.columns[1:])).orderBy("bucket").toArrow()  # 2**20 buckets at most
+    buckets = live["bucket"].to_numpy()
+    if not len(buckets):
+        return nothing
+    sent = docs.sparkSession.sparkContext.broadcast(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feats = Features(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([feats(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1)], ["has", "positive"])
-
-    sets: tuple[list, list] = ([], [])
-    for has, positive in texts.select("text", "positive").mapInArrow(lean(run), "has array<int>, positive int").collect():
-        sets[positive].append(list(has))
-    for s in sets:
-        s.sort()
-    keep = covering(sets[1], len(chosen))
-    if not keep:
-        return Model([], 0.0, np.zeros((0, 1)))
-    place = {f: i for i, f in enumerate(keep)}
-    chosen, sets = [chosen[f] for f in keep], tuple([[place[f] for f in one if f in place] for one in s] for s in sets)
-    prior = class_prior(np.array([len(s) for s in sets[1]], float), np.array([len(s) for s in sets[0]], float))
-    return Model(chosen, prior, np.stack([fit_nnpu(sets[1], sets[0], len(chosen), prior, seed=k) for k in range(bootstraps)]))
+            flat, value = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))
+            row = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(sent.value, flat), len(sent.value) - 1)
+            has = sent.value[at] == flat
+            ends = np.append(0, np.cumsum(np.bincount(row[has], minlength=b.num_rows))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[has], t)) for x, t in ((at, pa.int32()), (value, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], ["positive", "fold", "mark", "bucket", "value"])
+
+    found = rows.mapInArrow(lean(run), rows.schema).toArrow()
+    order = np.lexsort((found["mark"].to_numpy(), found["positive"].to_numpy()))
+    positive, fold = (found[c].to_numpy()[order] for c in ("positive", "fold"))
+    cols, values = (found[c].to_numpy()[order] for c in ("bucket", "value"))
+    p, u = (Sparse(list(cols[positive == y]), list(values[positive == y]), len(buckets)) for y in (1, 0))
+    zp, zu = np.zeros(p.rows), np.zeros(u.rows)
+    for k in range(_FOLDS):
+        s = live[f"s{k}"].to_numpy()
+        for rows_, z, f in ((p, zp, fold[positive == 1]), (u, zu, fold[positive == 0])):
+            z[f == k] = rows_.dot(s)[f == k]
+    prior = class_prior(zp, zu)
+    middle, spread = zu.mean(), np.concatenate([zp, zu]).std() + 1e-9
+    flat_p, flat_u = (Sparse([np.zeros(1, int)] * len(z), [np.array([x]) for x in (z - middle) / spread], 1) for z in (zp, zu))
+    slope, bias = fit_nnpu(flat_p, flat_u, np.ones(1), float(np.log(prior / (1 - prior))), prior, 300, 0.1)
+    slope = max(float(slope[0]), 0.01) / spread
+    s = live["s"].to_numpy()
+    use = np.flatnonzero(s)
+    place = np.full(len(buckets), -1)
+    place[use] = np.arange(len(use))
+
+    def scaled(x: Sparse) -> Sparse:
+        keep = place[x.col] >= 0
+        x.col, x.value, x.row, x.width = place[x.col[keep]], (x.value * s[x.col])[keep], x.row[keep], len(use)
+        return x
+
+    if not len(use):
+        return nothing
+    rate = np.append(np.full(len(use), 0.03 * slope), 0.03)
+    weights, bias = fit_nnpu(scaled(p), scaled(u), np.full(len(use), slope), bias - slope * middle, prior, rounds, rate)
+    return Model(buckets[use], weights * s[use], bias, prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_id") -> DataFrame:

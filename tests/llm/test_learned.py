@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunstride.llm import decontaminate, jaccard, language, mixing, quality, toxicity
+from sunstride.llm import decontaminate, jaccard, labelled, language, mixing, quality, toxicity
 from sunstride.llm.labelled import remainder
 
 BAD = ("grumblix", "snorvak", "plodwert", "zankful")
@@ -96,8 +96,34 @@ def test_nnpu_risk_and_prior():
     u = [[0] if r.random() < 0.09 else ([1] if r.random() < 0.5 else []) for _ in range(3000)]
     prior = toxicity.class_prior(np.array([len(s) for s in p], float), np.array([float(0 in s) for s in u]))
     assert 0.08 < prior < 0.14
-    w = toxicity.fit_nnpu(p, u, 2, prior)
-    assert w[0] + w[2] > 1 and w[2] < -1 and w[1] + w[2] < -1
+    p, u = (toxicity.Sparse(x, [[1.0] * len(s) for s in x], 2) for x in (p, u))
+    w, bias = toxicity.fit_nnpu(p, u, np.zeros(2), float(np.log(prior / (1 - prior))), prior, 1500, 0.05)
+    assert w[0] + bias > 1 and bias < -1 and w[1] + bias < -1
+
+
+def test_scores_agree_with_vectors():
+    features = toxicity._Features()
+    text = "Ka ka, karo karos ROT " * 3 + "rot... !!"
+    at, value = toxicity.vector(text, features)
+    weight = np.random.default_rng(1).normal(size=toxicity._BUCKETS)
+    model = toxicity.Model(np.arange(toxicity._BUCKETS), weight, -0.5, 0.1)
+    assert model.scorer()([text, None, "", "!!"])["score"] == pytest.approx(toxicity.sigmoid(np.array([weight[at] @ value, 0, 0, 0]) - 0.5))
+
+
+def test_samples_count_an_identifier_once(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "other") for k in range(2, 40)] + [(None, "none")], "doc_id long, text string")
+    marks = [(1 + k % 39, k % 2) for k in range(400)] + [(1, 0), (2, 1), (2, 0), (None, 1)]
+    found = []
+    for parts in (1, 3, 7):
+        ids = spark.createDataFrame(marks, "doc_id long, quality int").repartition(parts)
+        got = sorted(map(tuple, labelled.draw(docs.repartition(parts), ids, 11, "quality").collect()))
+        assert len(got) == 11 and len({g[0] for g in got}) == 11
+        found.append(got)
+    assert found[0] == found[1] == found[2]
+    every = {g[0]: g for g in map(tuple, labelled.draw(docs, spark.createDataFrame(marks, "doc_id long, quality int"), 1000, "quality").collect())}
+    assert len(every) == 39 and every[2][2] == 0 and every[1][2] == 0 and 0 not in every
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert labelled.draw(many, many, 300, None).count() == 300
 
 
 def test_quality(spark, tables):
@@ -132,11 +158,25 @@ def test_mixture_proportions():
     for k, text in enumerate(("karo mitu nelo kami rotu", "schubrae dorfwich gellpfu wichgell")):
         for w in text.split():
             counts[k] += np.bincount(language.trigrams(w), minlength=1 << 16)
-    share, has = language.Model(["xx", "yy"], counts)(["karo mitu nelo " * 5 + "schubrae dorfwich " * 5, "karo mitu", None, "12 ..", ""])
+    lang, bucket = np.nonzero(counts)
+    share, has = language.Model(["xx", "yy"], lang, bucket, counts[lang, bucket])(["karo mitu nelo " * 5 + "schubrae dorfwich " * 5, "karo mitu", None, "12 ..", ""])
     assert has.tolist() == [True, True, False, False, False]
     assert share[:, 0] == pytest.approx([0.6, 0.4], abs=0.05) and share[:, 1].tolist() == [1.0, 0.0] and share[:, 2].tolist() == [0.0, 0.0]
 
 
+def test_many_languages_without_a_cap(spark, monkeypatch):
+    r, letters = random.Random(8), [chr(0x4E00 + k) for k in range(4000)]
+    own = {f"l{k:04d}": letters[3 * k : 3 * k + 3] for k in range(1200)}
+    rows = [(k, " ".join("".join(r.choices(own[name], k=4)) for _ in range(12)), name) for k, name in enumerate(list(own) * 2)]
+    rows += [(9000 + k, "12 34", "blank") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(docs, F.lit(True))
+    assert len(model.languages) == 1201
+    monkeypatch.setattr(language, "_CELLS", 1 << 18)  # many groups of texts
+    share, has = model([t for _, t, _ in rows[:150]])
+    assert has.all() and [model.languages[k] for k in share.argmax(axis=0)] == [name for *_, name in rows[:150]]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 
