@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; only where it is unset (tests), a local one."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Where it is unset, a new local one, and only in local mode: executors elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="sunstride-")
@@ -35,18 +37,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sunstride/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch paths of this process that are still there.
+_PATHS: set[str] = set()
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _PATHS.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sunstride_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``settled`` wrote for ``df``; no later plan may read it."""
+    drop_scratch(df.sparkSession, df._sunstride_path)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path that no later plan reads."""
+def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes a scratch path that no later plan reads; without a path, all tables that this process has settled."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for one in [path] if path else list(_PATHS):
+        p = jvm.org.apache.hadoop.fs.Path(one)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _PATHS.discard(one)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,17 +77,34 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def in_bloom(keys: DataFrame, key: Column, probe: Column, bits: int = 1 << 23) -> Column:
-    """A condition on ``probe`` (a long) that holds wherever its value is among ``key`` of ``keys``, and rarely elsewhere.
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many marks before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name)
+    return out
+
+
+#: Bits of a Bloom filter: sixteen a key, between these.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def in_bloom(keys: DataFrame, key: Column, probe: Column) -> Column:
+    """A condition on ``probe`` (a long) that holds wherever its value is among ``key`` of ``keys`` (a settled table), and rarely elsewhere.
 
-    The filter has ``bits`` bits however many keys there are, so what is sent to executors is bounded (1 MB by default);
-    with more keys it only lets more rows through, and the exact join after it decides.
+    The filter has 16 bits a key and 16 MB at most, so what is sent to executors is bounded; from some 30 million keys on
+    it lets more rows through, and the exact join after it decides.
     """
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * keys.count()):
+        bits *= 2
     places = keys.select(F.explode(F.array(key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1))).alias("at"))
-    words = places.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("mask"))
+    words = places.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("mask")).toArrow()
     filled = np.zeros(bits // 32, dtype=np.uint32)
-    for row in words.toLocalIterator():
-        filled[row["word"]] = row["mask"]
+    filled[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
     sent = keys.sparkSession.sparkContext.broadcast(filled)
 
     @F.pandas_udf(T.BooleanType())
@@ -89,13 +122,14 @@ def in_bloom(keys: DataFrame, key: Column, probe: Column, bits: int = 1 << 23) -
 ROWS_A_TASK, HOT_KEYS = 500, 1000
 
 
-def join_groups(rows: DataFrame, key: str, by: Column, groups: DataFrame, size: str = "n") -> DataFrame:
+def join_groups(rows: DataFrame, key: str, by: Column, groups: DataFrame, size: str = "n", total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row a ``key``, ``size`` rows in each) that deals hot keys over tasks.
 
     Keys with more than ROWS_A_TASK rows and more than a thousandth of all are split by the hash of ``by`` and their
     group's row is repeated for each part; at most HOT_KEYS keys can be that large, so sending them to all tasks is bounded.
+    ``total`` is the number of all rows, if it is known.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total = total if total is not None else groups.agg(F.sum(size)).first()[0] or 0
     bound = max(ROWS_A_TASK, total // HOT_KEYS)
     hot = F.broadcast(groups.where(F.col(size) > bound).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / ROWS_A_TASK).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))

@@ -7,30 +7,36 @@ threshold even with the largest impacts of its terms is settled for a whole batc
 Others run document-at-a-time WAND with block maxima and full evaluation. Items above the threshold are verified: enough of the
 word trigrams of both the question (all sentences but the last) and the answer (the last one) must occur in the passage.
 
-The index is broadcast: ``items_a_pass`` items at most, so its size is bounded; larger benchmarks take several passes.
+Counts behind the scores (items, lengths, document frequencies) cover the whole benchmark. The index itself is built by
+executors in parts of ``items_a_part`` items, which lie in the shared folder; a task of the one scan over the texts holds
+one part at a time (all, if they are few), so neither a large benchmark nor the driver's memory bounds it, and the
+result is the same for any number of parts. Long texts are screened by runs of passages.
 Defined results: words are compared in lower case without marks around them; items without words match nothing, items
 of one sentence have their last third as the answer; null and empty texts have no passage; repeated items, and items
 with equal scores, are each found; repeated rows are each searched; an empty table gives an empty result; extra columns
-are not read.
+are not read by ``contaminated``, and ``without_leaks`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_bloom, settled
+from .common import free, in_bloom, scratch, settled, spread
 from .labelled import lean, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
 _MEMO = 200_000
+_CELLS = 2_000_000  # sums (passages times blocks) that are held at once
+_HELD, _CHUNK = 4, 32 << 20  # parts that a task keeps; characters of texts that it holds where there are more parts
 _END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -55,20 +61,15 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Postings by term: items in order with their share of the item's own score, largest shares of blocks and of the list."""
 
-    def __init__(self, rows: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, block: int = 8):
-        self.ids, self.parts, bags = [], [], []
-        for i, text in rows:
-            words = plain(text)
-            if words:
-                self.ids.append(i), self.parts.append(tuple(map(grams, question_answer(text)))), bags.append(Counter(words))
-        lengths = [sum(x.values()) for x in bags]
-        self.longest = max(lengths, default=0)
-        df = Counter(t for x in bags for t in x)
-        mean, n = sum(lengths) / max(1, len(lengths)), len(bags)
-        self.own = []
+    def __init__(self, rows: list[tuple[int, str, dict[str, int]]], items: int, mean: float, longest: int, k1: float = 1.2, b: float = 0.75, block: int = 8):
+        """Each row's identifier, text and, for its words, how many items of the whole benchmark have them; the other counts are of the whole benchmark, too."""
+        self.ids, self.parts, self.own, self.longest = [], [], [], longest
         posts: dict[str, list[tuple[int, float]]] = {}
-        for d, (bag, size) in enumerate(zip(bags, lengths)):
-            part = {t: log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean)) for t, f in bag.items()}
+        for d, (ident, text, df) in enumerate(rows):
+            words = plain(text)
+            self.ids.append(ident), self.parts.append(tuple(map(grams, question_answer(text))))
+            norm = k1 * (1 - b + b * len(words) / mean)
+            part = {t: log(1 + (items - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + norm) for t, f in sorted(Counter(words).items())}
             self.own.append(sum(part.values()))
             for t, s in part.items():
                 posts.setdefault(t, []).append((d, s / self.own[-1]))
@@ -156,13 +157,21 @@ class Search:
         if not len(key):
             return []
         half, term = np.divmod(key, len(self.most))
-        sums = np.zeros((len(text) + 1, self.most.shape[1]), np.float32)
-        seen, begin = np.unique(half, return_index=True)
-        sums[seen] = np.add.reduceat(self.most[term], begin, axis=0)
         follows = np.append(text[1:] == text[:-1], False)
-        bound = (sums[:-1] + np.where(follows[:, None], sums[1:], 0)).max(axis=1)
         starts = follows | (np.arange(len(text)) == first[text])  # the last half has a passage of its own only where it is the only one
-        found = np.flatnonzero(starts & (bound >= self.threshold - 1e-4))
+        out, run = [], max(1, _CELLS // self.most.shape[1])
+        for low in range(0, len(text), run):  # so many passages at once; a run's last one reaches into the next run's first half
+            high = min(low + run, len(text))
+            i, j = np.searchsorted(half, (low, high + 1))
+            sums = np.zeros((high - low + 1, self.most.shape[1]), np.float32)
+            if j > i:
+                seen, begin = np.unique(half[i:j], return_index=True)
+                for k in range(0, len(seen), run):
+                    end = begin[k + run] if k + run < len(seen) else j - i
+                    sums[seen[k : k + run] - low] = np.add.reduceat(self.most[term[i + begin[k] : i + end]], begin[k : k + run] - begin[k], axis=0)
+            bound = (sums[:-1] + np.where(follows[low:high, None], sums[1:], 0)).max(axis=1)
+            out.append(low + np.flatnonzero(starts[low:high] & (bound >= self.threshold - 1e-4)))
+        found = np.concatenate(out)
         return list(zip(text[found].tolist(), (found - first[text[found]]).tolist()))
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float, int]]:
@@ -192,38 +201,98 @@ class Search:
             yield i, ix.ids[d], score * ix.own[d], q, a, s
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id", threshold: float = 0.5, question: float = 0.6, answer: float = 0.5, items_a_pass: int = 20_000) -> DataFrame:
+def _parts(benchmark: DataFrame, items_a_part: int) -> list[str]:
+    """Paths of the index's parts; none for a benchmark without words."""
+    spark = benchmark.sparkSession
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [plain(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["item_id", "text", "length", "terms"])
+
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text").mapInArrow(lean(terms), f"item_id {kind}, text string, length long, terms array<string>")
+    items = settled(items.where("length > 0").withColumn("no", F.monotonically_increasing_id()), "benchmark-items")
+    n, mean, longest = items.agg(F.count(F.lit(1)), F.avg("length"), F.max("length")).first()
+    if not n:
+        return []
+    parts, folder = -(-n // items_a_part), scratch(spark, "benchmark-index")
+    each = items.select("no", F.explode("terms").alias("term"))
+    counted = each.join(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
+    rows = items.join(counted, "no").withColumn("part", F.pmod(F.xxhash64("no"), F.lit(parts)).cast("int"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for part, *row in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(part, []).append((row[0], row[1], dict(row[2])))
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for part, found in held.items():
+            found.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            with store.open_output_stream(f"{base}/part-{part}", compression=None) as f:  # the same bytes in any attempt
+                f.write(pickle.dumps(Index(found, n, mean, longest)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part}"])], ["path"])
+
+    dealt = rows.select("part", "item_id", "text", "df").repartitionById(min(parts, 10_000), F.pmod("part", F.lit(min(parts, 10_000))))
+    return sorted(r[0] for r in dealt.mapInArrow(lean(build), "path string").collect())
+
+
+def _load(path: str) -> Index:
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as f:
+        return pickle.loads(f.read())
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id", threshold: float = 0.5, question: float = 0.6, answer: float = 0.5, items_a_part: int = 20_000) -> DataFrame:
     """(ident, item_id, bm25, question_overlap, answer_overlap, first_word) for each item that a row contains."""
     spark = docs.sparkSession
     small_batches(spark)
     kind, item_kind = docs.schema[ident].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"`{ident}` {kind}, item_id {item_kind}, bm25 double, question_overlap double, answer_overlap double, first_word long"
-    passes = max(1, -(-benchmark.count() // items_a_pass))
-    out = []
-    for k in range(passes):
-        rows = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)).select("item_id", "text").collect()
-        rows = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        sent = spark.sparkContext.broadcast(Index(rows))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = Search(sent.value, threshold, question, answer)
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                found = [(ids[i], *hit) for i, *hit in search(b.column(1).to_pylist())]
-                if found:
-                    cols = list(zip(*found))
+    parts = _parts(benchmark, items_a_part)
+    if not parts:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, Search] = {}
+
+        def search(path: str) -> Search:
+            if path in kept:
+                return kept[path]
+            found = Search(_load(path), threshold, question, answer)
+            if len(parts) <= _HELD:
+                kept[path] = found
+            return found
+
+        def found(ids: pa.Array, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+            names = ids.to_pylist()
+            for path in parts:
+                hits = [(names[i], *hit) for i, *hit in search(path)(texts)]
+                if hits:
+                    cols = list(zip(*hits))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], b.column(0).type), pa.array(cols[1]), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())],
+                        [pa.array(cols[0], ids.type), pa.array(cols[1]), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())],
                         [ident, "item_id", "bm25", "question_overlap", "answer_overlap", "first_word"],
                     )
 
-        out.append(docs.select(ident, text).mapInArrow(lean(run), schema))
-    return reduce(DataFrame.unionAll, out)
+        ids, texts, held = [], [], 0
+        for b in batches:
+            ids.append(b.column(0)), texts.extend(b.column(1).to_pylist())
+            held += b.column(1).nbytes
+            if len(parts) <= _HELD or held > _CHUNK:
+                yield from found(pa.concat_arrays(ids), texts)
+                ids, texts, held = [], [], 0
+        if texts:
+            yield from found(pa.concat_arrays(ids), texts)
+
+    return spread(docs.select(ident, text)).mapInArrow(lean(run), schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain a test item; only rows that may go are moved."""
-    gone = settled(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    marked = docs.withColumn("_may", F.coalesce(in_bloom(gone, F.xxhash64("_gone"), F.xxhash64("doc_id")), F.lit(False)))
-    stay = marked.where("_may").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return marked.where("not _may").unionByName(stay).select(*docs.columns)
+    gone, may = free(docs, "gone", "may")
+    leaks = settled(contaminated(docs, benchmark).select(F.col("doc_id").alias(gone)).distinct(), "leaks")
+    marked = docs.withColumn(may, F.coalesce(in_bloom(leaks, F.xxhash64(gone), F.xxhash64("doc_id")), F.lit(False)))
+    stay = marked.where(F.col(may)).join(leaks, F.col("doc_id") == F.col(gone), "left_anti")
+    return marked.where(~F.col(may)).unionByName(stay).select(*docs.columns)

@@ -4,22 +4,23 @@ Texts become sets of hashed word shingles. Two sets whose Jaccard similarity is
 bounds both how many of a set's lowest hashes the other must have too and how far their count vectors can be apart:
 
 1. Equal sets are one class. Each class deals its lowest n/5 + 1 + 3n/10 hashes over the cluster (as packed arrays). A
-   partner shares at least t = 1 + 3/10 * 4n/5 of them, so classes that share fewer with all others together go.
+   partner shares at least t = 1 + 3/10 * 4n/5 of them, so classes that share fewer with all others together go. A task
+   holds a part of the hashes; owners of a hash that would fill it are passed on at once, as of a hash more common than all others.
 2. Of the hashes that a class shares, the t - 1 that most classes have are set aside: a partner still shares the rarest
    one. Classes that share one of the others form candidate clusters (connected components), a superset of the links.
 3. Inside a cluster the shingles are hashed into groups; the counts by group are points, packed into an R-tree. The
    summed coordinate minima of a point and a node's upper corner bound any overlap below it. Pairs that survive and are
-   not yet connected are verified on the whole sets. Clusters too large for a task are checked in blocks: each against
-   the cluster's first member, then every member that this doesn't connect against all blocks.
+   not yet connected are verified on the whole sets. Of clusters too large for a task each block meets the cluster's
+   first member; a member that this doesn't connect then meets those of comparable size that share one of its hashes.
 4. Verified links give the components.
 
-No pair of texts is lost and no group is expanded into all pairs. Hashes have 64 bits; those of step 1 are shortened to
-32 within their part, which can only add candidates.
+No pair of texts is lost and no group is expanded into all pairs. Shingles have hashes of 64 bits, classes and texts of
+128 bits; those of step 1 are shortened to 32 within their part, which can only add candidates.
 
 Defined results: words are runs without space, tab, LF, VT, FF, CR, with A-Z in lower case; texts with fewer words than a
 shingle are one shingle; null and wordless texts have no shingles, link with nothing and are their own component. A
 component's id is its least identifier (null only if all are null); repeated rows are members like any other; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; a very long text is held whole, with its hashes, by the tasks that shingle it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import in_bloom, join_groups, settled
+from .common import discard, free, in_bloom, join_groups, settled, spread
 from .components import components
 from .labelled import lean, small_batches
 
@@ -41,7 +42,11 @@ _FLUSH = 1 << 19  # hashes that a task packs at once
 _MEMO = 200_000
 #: Shingles and members of a cluster that one task takes.
 TASK_SHINGLES, TASK_MEMBERS = 3_000_000, 6000
-_PART_BYTES = 64 << 20
+#: Bytes of text whose hashes make a part, parts at most (above 12.8 TB they get larger), and parts that are tasks of their own.
+_PART_BYTES, _MOST_PARTS, _MOST_TASKS = 64 << 20, 200_000, 20_000
+#: Hashes of a part that are met at once, that a task holds before it looks for common ones, and owners that make a hash common.
+_RUN, _HELD, _COMMON = 1 << 22, 1 << 25, 1 << 17
+_TOP = 2**31 - 1
 
 
 class _Hashes(dict):
@@ -83,7 +88,65 @@ def _prefix(n: int) -> int:
 _NEED = "1 + div(3 * div(4 * n + 4, 5), 10)"
 
 
-def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int) -> DataFrame:
+def _binary(pairs: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit numbers as binaries of 16 bytes."""
+    raw = np.ascontiguousarray(pairs)
+    return pa.Array.from_buffers(pa.binary(16), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+class _Part:
+    """The hashes of one part: owners of common ones leave early, those of others when all are there."""
+
+    def __init__(self, held: int, common: int):
+        self.limit = self.held = held
+        self.common, self.hot, self.count = common, np.zeros(0, np.uint32), 0
+        self.blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, raw: bytes, named: bytes, sizes: bytes) -> Iterator[tuple]:
+        both = np.frombuffer(raw, np.uint32)
+        blob = (both[: len(both) // 2], both[len(both) // 2 :], np.frombuffer(named, np.uint64).reshape(-1, 2), np.frombuffer(sizes, np.int32))
+        yield from self._keep(blob)
+        if self.count > self.limit:
+            keys, often = np.unique(np.concatenate([b[0] for b in self.blobs]), return_counts=True)
+            self.hot = np.union1d(self.hot, keys[often > self.common])
+            blobs, self.blobs, self.count = self.blobs, [], 0
+            for b in blobs:
+                yield from self._keep(b)
+            self.limit = max(self.held, 2 * self.count)
+
+    def _keep(self, blob: tuple) -> Iterator[tuple]:
+        k, no, c, z = blob
+        if len(self.hot):
+            is_hot = np.isin(k, self.hot)
+            if is_hot.any():
+                yield k[is_hot], c[no[is_hot]], z[no[is_hot]], np.full(is_hot.sum(), _TOP, np.int32)
+                k, no = k[~is_hot], no[~is_hot]
+        if len(k):
+            self.blobs.append((k, no, c, z))
+            self.count += len(k)
+
+    def rest(self) -> Iterator[tuple]:
+        """(hash, class, size, owners) of what classes of comparable size share, a run of hashes at a time."""
+        runs = np.uint64(max(1, -(-self.count // _RUN)))
+        for run in range(int(runs)):
+            cut = [(k[at], c[no[at]], z[no[at]]) for k, no, c, z in self.blobs for at in [np.flatnonzero((k.astype(np.uint64) * runs) >> np.uint64(32) == run)]]
+            if not cut:
+                return
+            k, c, z = (np.concatenate(x) for x in zip(*cut))
+            if not len(k):
+                continue
+            order = np.lexsort((c[:, 0], c[:, 1], z, k))
+            k, c, z = k[order], c[order], z[order]
+            new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]).any(axis=1))
+            k, c, z = k[new], c[new], z[new]
+            df = np.bincount(np.cumsum(np.append(False, k[1:] != k[:-1])))
+            df = np.repeat(df, df).astype(np.int32)
+            near = np.append((k[1:] == k[:-1]) & (4 * z[1:].astype(np.int64) <= 5 * z[:-1].astype(np.int64)), False)  # with the next larger one
+            keep = near | np.append(False, near[:-1])
+            yield k[keep], c[keep], z[keep], df[keep]
+
+
+def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int, held: int, common: int) -> DataFrame:
     """Two kinds of rows: one for each text (key is null), and (key, class, n, df) for each dealt hash that classes of comparable size share; df is how many classes have it."""
     kind = docs.schema[ident].dataType.simpleString()
     names = ["doc_id", "n", "class", "body_hash", "part", "keys", "classes", "sizes"]
@@ -95,28 +158,28 @@ def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int) -> Da
         def flush() -> pa.RecordBatch:
             nonlocal held
             k, o = np.concatenate(keys), np.repeat(np.arange(len(owners)), owners)
-            c, z = np.array(classes, np.int64), np.array(sizes, np.int32)
+            c, z = np.frombuffer(b"".join(classes), np.uint64).reshape(-1, 2), np.array(sizes, np.int32)
             k = (k ^ (k >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             at = ((k & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             k, o = (k >> np.uint64(32)).astype(np.uint32)[order], o[order]
             ends = np.searchsorted(at[order], np.arange(parts + 1))
             out = []  # for each part its hashes, the number of each one's class among the classes named, and those
-            for p, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
-                if j > i:
-                    used, no = np.unique(o[i:j], return_inverse=True)
-                    out.append((p, k[i:j].tobytes() + no.astype(np.uint32).tobytes(), c[used].tobytes(), z[used].tobytes()))
+            for p in np.flatnonzero(np.diff(ends)):
+                i, j = ends[p], ends[p + 1]
+                used, no = np.unique(o[i:j], return_inverse=True)
+                out.append((int(p), k[i:j].tobytes() + no.astype(np.uint32).tobytes(), c[used].tobytes(), z[used].tobytes()))
             keys.clear(), owners.clear(), classes.clear(), sizes.clear()
             held = 0
             m, cols = len(out), list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.nulls(m, ident_type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, ident_type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names)
 
         for b in batches:
             ident_type, n, c = b.column(0).type, [], []
             for body in b.column(1).to_pylist():
                 s = shingles(body)
                 n.append(len(s))
-                c.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                c.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s) and c[-1] not in seen:  # an equal set in this task has been dealt already
                     if len(seen) > _MEMO:
                         seen.clear()
@@ -127,43 +190,43 @@ def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int) -> Da
                     if held > _FLUSH:
                         yield flush()
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(c, pa.int64()), b.column(2), pa.array(np.arange(m) % parts, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(c, pa.binary()), b.column(2), pa.array(np.arange(m) % parts, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], names)
         if keys:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
-        out = ["doc_id", "n", "class", "body_hash", "key", "df"]
+        now, part, ident_type = -1, _Part(held, common), None
+
+        def rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            for k, c, z, df in found:
+                for i in range(0, len(k), 50_000):
+                    at = slice(i, i + 50_000)
+                    m = len(k[at])
+                    key = k[at].astype(np.int64) | (np.int64(now) << 32)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ident_type), pa.array(z[at]), _binary(c[at]), pa.nulls(m, pa.binary()), pa.array(key), pa.array(df[at])], ["doc_id", "n", "class", "body_hash", "key", "df"])
+
         for b in batches:
             ident_type, own = b.column(0).type, b.filter(b.column(5).is_null())
-            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.nulls(own.num_rows, pa.int64()), pa.nulls(own.num_rows, pa.int32())], out)
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.nulls(own.num_rows, pa.int64()), pa.nulls(own.num_rows, pa.int32())], ["doc_id", "n", "class", "body_hash", "key", "df"])
             packed = b.filter(b.column(5).is_valid())
-            for p, *blobs in zip(*(c.to_pylist() for c in packed.columns[4:])):
-                got.setdefault(p, []).append(blobs)
-        for p, blobs in got.items():
-            k, c, z = [], [], []
-            for raw, named, sizes in blobs:
-                both = np.frombuffer(raw, np.uint32)
-                no = both[len(both) // 2 :]
-                k.append(both[: len(both) // 2]), c.append(np.frombuffer(named, np.int64)[no]), z.append(np.frombuffer(sizes, np.int32)[no])
-            blobs.clear()
-            k, c, z = map(np.concatenate, (k, c, z))
-            order = np.lexsort((c, z, k))
-            k, c, z = k[order], c[order], z[order]
-            new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
-            k, c, z = k[new], c[new], z[new]
-            df = np.bincount(np.cumsum(np.append(False, k[1:] != k[:-1])))
-            df = np.repeat(df, df).astype(np.int32)
-            near = np.append((k[1:] == k[:-1]) & (4 * z[1:].astype(np.int64) <= 5 * z[:-1].astype(np.int64)), False)  # with the next larger one
-            keep = near | np.append(False, near[:-1])
-            k, c, z, df = k[keep].astype(np.int64) | (np.int64(p) << 32), c[keep], z[keep], df[keep]
-            for i in range(0, len(k), 50_000):
-                m = len(k[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, ident_type), pa.array(z[i : i + m]), pa.array(c[i : i + m]), pa.nulls(m, pa.int64()), pa.array(k[i : i + m]), pa.array(df[i : i + m])], out)
+            for p, *blob in zip(*(c.to_pylist() for c in packed.columns[4:])):
+                if p != now:
+                    yield from rows(part.rest())
+                    now, part = p, _Part(held, common)
+                yield from rows(part.add(*blob))
+        yield from rows(part.rest())
 
     body = F.col(text).cast("binary")
-    packed = docs.select(F.col(ident), body, F.xxhash64(F.col(text))).mapInArrow(lean(deal), f"doc_id {kind}, n int, class long, body_hash long, part int, keys binary, classes binary, sizes binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(lean(meet), f"doc_id {kind}, n int, class long, body_hash long, key long, df int")
+    packed = spread(docs.select(F.col(ident), body, _body_hash(text))).mapInArrow(lean(deal), f"doc_id {kind}, n int, class binary, body_hash binary, part int, keys binary, classes binary, sizes binary")
+    tasks = min(parts, _MOST_TASKS)
+    met = packed.repartitionById(tasks, F.pmod("part", F.lit(tasks)))
+    met = met.sortWithinPartitions("part") if parts > tasks else met
+    return met.mapInArrow(lean(meet), f"doc_id {kind}, n int, class binary, body_hash binary, key long, df int")
+
+
+def _body_hash(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 class Tree:
@@ -234,7 +297,7 @@ def _links(rows: DataFrame, width: int) -> DataFrame:
         def solved() -> pa.RecordBatch:
             pairs = forest(held[1], None if all(held[2]) else held[2])
             ends = [[held[0][p[k]] for p in pairs] for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], ["a", "b"])
 
         for b in batches:
             for g, c, body, q in zip(*(x.to_pylist() for x in b.columns)):
@@ -247,47 +310,51 @@ def _links(rows: DataFrame, width: int) -> DataFrame:
             yield solved()
 
     dealt = rows.select("grp", "class", "body", "asked").repartition(F.col("grp")).sortWithinPartitions("grp", "class")
-    return dealt.mapInArrow(lean(run), "a long, b long")
+    return dealt.mapInArrow(lean(run), "a binary, b binary")
 
 
-def _large(members: DataFrame, width: int) -> DataFrame:
-    """Links of clusters too large for one task; members has cluster, class, body and parts (tasks its cluster needs)."""
-    grp = lambda *c: F.xxhash64(*c)
+def _large(members: DataFrame, shared: DataFrame, width: int, task_shingles: int, task_members: int) -> DataFrame:
+    """Links of clusters too large for one task; members has cluster, class, n, body and parts (tasks its cluster needs), shared the hashes (key) by class."""
     members = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     first = members.groupBy("cluster").agg(F.min_by(F.struct("class", "body", "parts"), "class").alias("f"))
     sent = first.select("cluster", F.col("f.class").alias("class"), F.col("f.body").alias("body"), F.explode(F.sequence(F.lit(0), (F.col("f.parts") - 1).cast("int"))).alias("block"))
     own = members.select("cluster", "class", "body", "block").unionByName(sent).dropDuplicates(["cluster", "class", "block"])
-    links = settled(_links(own.select(grp("cluster", "block").alias("grp"), "class", "body", F.lit(True).alias("asked")), width), "jaccard-blocks")
-    # members that their block doesn't connect with the first are compared with all blocks
+    links = settled(_links(own.select(F.xxhash64("cluster", "block").alias("grp"), "class", "body", F.lit(True).alias("asked")), width), "jaccard-blocks")
+    # members that their block doesn't connect with the first meet, hash by hash, those of comparable size
     roots = settled(components(links), "jaccard-roots")
     heads = first.select("cluster", F.col("f.class").alias("head")).join(roots, F.col("head") == F.col("node")).select("cluster", F.col("root").alias("main"))
-    tied = members.join(roots, F.col("class") == F.col("node"), "left").join(heads, "cluster", "left").withColumn("apart", F.coalesce(F.col("root") != F.col("main"), F.lit(True)))
-    apart = tied.where("apart")
-    counts = apart.groupBy("cluster").agg(F.count(F.lit(1)).alias("rest"))
-    chunks = F.ceil(F.col("rest") / TASK_MEMBERS).cast("int")
-    left = members.join(counts, "cluster").select("cluster", "class", "body", "block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("asked"))
-    right = apart.join(counts, "cluster").select("cluster", "class", "body", F.pmod(F.xxhash64("class", F.lit(1)), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("block"), F.lit(True).alias("asked"))
-    again = left.unionByName(right.select(*left.columns)).groupBy("cluster", "block", "chunk", "class").agg(F.first("body").alias("body"), F.max("asked").alias("asked"))
-    return links.unionByName(_links(again.select(grp("cluster", "block", "chunk").alias("grp"), "class", "body", "asked"), width))
-
-
-def joined(docs: DataFrame, text: str = "text", ident: str = "doc_id", width: int = WIDTH, task_shingles: int = TASK_SHINGLES, task_members: int = TASK_MEMBERS) -> DataFrame:
-    """For each row its identifier, n_shingles (long) and component_id."""
+    tied = members.select("cluster", "class", "n").join(roots, F.col("class") == F.col("node"), "left").join(heads, "cluster", "left")
+    tied = settled(tied.select("class", "n", F.coalesce(F.col("root") != F.col("main"), F.lit(True)).alias("apart")), "jaccard-tied")
+    size = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    rows = shared.join(tied, "class").withColumn("size", F.explode(F.array(size, size + 1))).withColumn("at", F.xxhash64("key", "size"))
+    groups = rows.groupBy("at").agg(F.count(F.lit(1)).alias("m"), F.count_if("apart").alias("a"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"))
+    groups = settled(groups.where("m > 1 AND a > 0").groupBy("m", "a", "s", "x", "y").agg(F.min("at").alias("at")).select("at", "m", "s"), "jaccard-groups")  # those of the same members once
+    met = join_groups(rows.select("at", "class", "apart"), "at", F.col("class"), groups, "m")
+    met = met.withColumn("tasks", F.greatest(F.ceil(F.col("m") / task_members), F.ceil(F.col("s") / task_shingles)).cast("int"))
+    every, part = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)), lambda k: F.pmod(F.xxhash64("class", F.lit(k)), F.col("tasks")).cast("int")
+    left = met.select("at", "class", part(0).alias("block"), every.alias("chunk"), F.lit(False).alias("asked"))
+    right = met.where("apart").select("at", "class", every.alias("block"), part(1).alias("chunk"), F.lit(True).alias("asked"))
+    again = left.unionByName(right).groupBy("at", "block", "chunk", "class").agg(F.max("asked").alias("asked")).join(members.select("class", "body"), "class")
+    return links.unionByName(_links(again.select(F.xxhash64("at", "block", "chunk").alias("grp"), "class", "body", "asked"), width))
+
+
+def _tied(docs: DataFrame, text: str, ident: str, width: int, task_shingles: int, task_members: int, held: int, common: int) -> DataFrame:
+    """For each row doc_id, n, body_hash, and tie: its component among those that have shingles. Settled."""
     spark = docs.sparkSession
     small_batches(spark)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = size if size < 1 << 60 else 0  # a plan without an estimate has the largest number
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // _PART_BYTES, 50_000))
-    dealt = settled(_dealt(docs, ident, text, parts, width), "jaccard-dealt")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // _PART_BYTES, _MOST_PARTS))
+    dealt = settled(_dealt(docs, ident, text, parts, width, held, common), "jaccard-dealt")
     texts = dealt.where("key is null").select("doc_id", "n", "class", "body_hash")
 
     own = Window.partitionBy("class")
     shared = dealt.where("key is not null").select("key", "class", "n", "df")
     shared = shared.withColumn("has", F.count(F.lit(1)).over(own)).where(f"has >= {_NEED}")
     shared = shared.withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), F.desc("key")))).where(f"place >= {_NEED}")
-    shared = settled(shared.select("key", "class"), "jaccard-shared")
-    hubs = shared.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub <> top").select("key", "hub")
-    near = shared.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    shared = settled(shared.select("key", "class").distinct(), "jaccard-shared")
+    hubs = shared.groupBy("key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = join_groups(shared, "key", F.col("class"), hubs).select(F.col("class").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
     clusters = components(near).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
 
     # one text for each class of a cluster
@@ -295,17 +362,25 @@ def joined(docs: DataFrame, text: str = "text", ident: str = "doc_id", width: in
     per = reps.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
     per = per.withColumn("parts", F.greatest(F.ceil(F.col("shingles") / task_shingles), F.ceil(F.col("members") / task_members)).cast("int"))
     reps = settled(reps.join(per.select("cluster", "parts"), "cluster"), "jaccard-reps")
-    bodies = docs.select(F.col(text).cast("binary").alias("body"), F.xxhash64(F.col(text)).alias("body_hash"))
-    bodies = bodies.where(in_bloom(reps, F.col("body_hash"), F.col("body_hash")))
+    bodies = docs.select(F.col(text).cast("binary").alias("body"), _body_hash(text).alias("body_hash"))
+    bodies = bodies.where(in_bloom(reps, F.xxhash64("body_hash"), F.xxhash64("body_hash")))
     bodies = bodies.groupBy("body_hash").agg(F.first("body").alias("body"))
-    members = reps.join(bodies, "body_hash").select("cluster", "class", "body", "parts")
-    links = _links(members.where("parts = 1").select(F.col("cluster").alias("grp"), "class", "body", F.lit(True).alias("asked")), width)
+    members = reps.join(bodies, "body_hash").select("cluster", "class", "n", "body", "parts")
+    links = _links(members.where("parts = 1").select(F.xxhash64("cluster").alias("grp"), "class", "body", F.lit(True).alias("asked")), width)
     if not reps.where("parts > 1").isEmpty():
-        links = links.unionByName(_large(settled(members.where("parts > 1"), "jaccard-large"), width))
+        large = settled(members.where("parts > 1"), "jaccard-large")
+        links = links.unionByName(_large(large, shared, width, task_shingles, task_members))
     roots = components(links)
-
     own = texts.join(roots, (F.col("class") == F.col("node")) & (F.col("n") > 0), "left")
     own = settled(own.select("doc_id", "n", "body_hash", F.coalesce("root", "class").alias("tie")), "jaccard-ties")
+    for done in (dealt, shared, reps):
+        discard(done)
+    return own
+
+
+def joined(docs: DataFrame, text: str = "text", ident: str = "doc_id", width: int = WIDTH, task_shingles: int = TASK_SHINGLES, task_members: int = TASK_MEMBERS, held: int = _HELD, common: int = _COMMON) -> DataFrame:
+    """For each row its identifier, n_shingles (long) and component_id."""
+    own = _tied(docs, text, ident, width, task_shingles, task_members, held, common)
     least = settled(own.where("n > 0").groupBy("tie").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "jaccard-least")
     # a group of copies may hold a third of all rows: its rows are dealt over tasks
     tied = join_groups(own.where("n > 0"), "tie", F.struct("doc_id", "body_hash"), least, "rows").select("doc_id", "n", "least")
@@ -313,11 +388,23 @@ def joined(docs: DataFrame, text: str = "text", ident: str = "doc_id", width: in
     return out.select(F.col("doc_id").alias(ident), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose component has a lesser identifier; only texts that may go are moved."""
-    found = settled(joined(docs), "jaccard-found")
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    may_go = in_bloom(gone, F.xxhash64("_gone"), F.xxhash64("doc_id"))
-    marked = docs.withColumn("_may", F.coalesce(may_go, F.lit(False)))
-    stay = marked.where("_may").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return marked.where("not _may").unionByName(stay).select(*docs.columns)
+def deduplicated(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: the least identifier's (nulls last), of its rows the text with the least MD5, of equal rows one.
+
+    Rows without shingles all stay. Only rows that may go are moved; columns of any name are kept.
+    """
+    own = _tied(docs, text, ident, WIDTH, TASK_SHINGLES, TASK_MEMBERS, _HELD, _COMMON)
+    name = lambda i, h: F.md5(F.concat_ws("/", F.coalesce(F.col(i).cast("string"), F.lit("-")), F.hex(h)).cast("binary"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body_hash")
+    rows = own.where("n > 0").groupBy("tie", "doc_id", "body_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("tie").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("of"))
+    gone, may, key = free(docs, "gone", "may", "key")
+    fate = join_groups(rows, "tie", rank, first, "of").select(name("doc_id", F.col("body_hash")).alias(key), (rank != F.col("first")).alias(gone), "n")
+    fate = settled(fate.where(F.col(gone) | (F.col("n") > 1)), "jaccard-fate")
+    keyed = docs.withColumn(key, name(ident, _body_hash(text)))
+    marked = keyed.withColumn(may, in_bloom(fate, F.xxhash64(key), F.xxhash64(key)))
+    several = fate.where(~F.col(gone)).select(key)
+    some = marked.where(F.col(may)).join(fate.where(gone).select(key), key, "left_anti")
+    stay = some.join(several, key, "left_anti")
+    once = some.join(several, key, "left_semi").dropDuplicates([key])
+    return marked.where(~F.col(may)).unionByName(stay).unionByName(once).select(*docs.columns)

@@ -10,7 +10,8 @@ Recovery: tokens are written once to the shared folder and reread by whatever ne
 attempts; a shard is written under a new name and renamed, and a shard that is already there whole is left as it is.
 
 Defined results: null texts count as empty and give the end token alone; of an empty table no shard is written; the last
-sequence of a task is filled up with the end token; repeated rows are tokenised each; other columns are not read.
+sequence of a task is filled up with the end token; repeated rows are tokenised each; a very long text is tokenised whole by one task and may
+fill many sequences; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
 
 
 class Feistel:
-    """A permutation of range(n) chosen by a key; four-round Feistel network on the next even number of bits."""
+    """A permutation of range(n) chosen by a key; six-round Feistel network on the next even number of bits."""
 
     def __init__(self, n: int, key: int, rounds: int = 6):
         self.n, half = n, max(1, (max(1, n - 1).bit_length() + 1) // 2)
@@ -208,7 +209,7 @@ def _write_shards(packs: DataFrame, n: int, feistel: Feistel, folder: str, per_s
 
     dealt = packs.mapInArrow(lean(deal), "shard int, places binary, tokens binary")
     tasks = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_range = dealt.repartitionById(tasks, F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
+    by_range = dealt.repartitionById(tasks, F.floor(F.col("shard").cast("long") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
     return settled(by_range.mapInArrow(lean(write), "shard int, path string, sequences long, crc32 long"), "shards")
 
 

@@ -4,7 +4,7 @@ A URL is expanded into one expression for each host suffix and each path prefix
 meet rules by the first bytes of their SHA-256, then by the whole digest, and the longest rule decides.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule; an empty path fits
-only rules with an empty path; repeated URLs each get their row; an empty table gives an empty result; other columns
+only rules with an empty path; a very long URL is expanded by as many suffixes and prefixes as rules have lengths; repeated URLs each get their row; an empty table gives an empty result; other columns
 are kept untouched, but for those named host, path, rule and verdict, which the result replaces. Of rules with equal host and path, and of equally long ones, ``block`` wins.
 """
 
@@ -14,6 +14,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import free, join_groups
+
 #: Rules as a table of so many rows at most are broadcast; larger ones are joined by shuffling.
 BROADCAST_RULES = 20_000
 _HEX = 8  # characters of the digest that the equi-join uses
@@ -53,17 +55,20 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
         .withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path")))
         .withColumn("short", F.substring("digest", 1, _HEX))
     )
-    # lengths of rule paths: as many as there are different lengths, which URL syntax bounds, not the number of rules
-    lengths = sorted(r[0] for r in listed.select(F.length("rule_path")).distinct().collect())
+    # lengths of rule paths and labels of rule hosts: as many as there are different ones, which URL syntax bounds, not the number of rules
+    lengths, sizes = (sorted(r[0] for r in listed.select(x).distinct().collect()) for x in (F.length("rule_path"), F.size(F.split("rule_host", r"\."))))
+    if not lengths:
+        return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
     few = listed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
 
     # one expansion for each different (host, path): a URL that a third of all rows repeat is expanded once
-    parts = parsed.select("host", "path").distinct()
+    key, many, found_rule, found_verdict = free(parsed, "key", "many", "found_rule", "found_verdict")
+    rows = parsed.where("host <> ''").withColumn(key, F.concat("host", F.lit("\n"), "path"))
+    parts = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias(many))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.expr("path").substr(F.lit(1), n)))
-    if not lengths:
-        return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
+    fits = lambda values, size: F.filter(F.array(*map(F.lit, values)), lambda n: n <= size)
+    suffixes = F.transform(fits(sizes, F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    prefixes = F.transform(fits(lengths, F.length("path")), lambda n: F.expr("path").substr(F.lit(1), n))
     expanded = (
         parts.withColumn("of_host", F.explode(suffixes)).withColumn("of_path", F.explode(prefixes))
         .withColumn("found", _digest(F.col("of_host"), F.col("of_path")))
@@ -75,6 +80,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     )
     rule = F.concat("rule_host", "rule_path")
     won = met.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("long"), F.col("blocks"), rule.alias("rule"))).alias("won"))
-    won = won.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("won.rule").alias("rule"), F.when(F.col("won.blocks"), "block").otherwise("allow").alias("verdict"))
-    out = parsed.join(won, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))
+    won = won.select(F.concat("host", F.lit("\n"), "path").alias(key), F.col("won.rule").alias(found_rule), F.when(F.col("won.blocks"), "block").otherwise("allow").alias(found_verdict))
+    judged = parts.select(F.concat("host", F.lit("\n"), "path").alias(key), many).join(won, key, "left").withColumn(found_verdict, F.coalesce(found_verdict, F.lit(otherwise)))
+    # rows of an often repeated URL are dealt over tasks; those without a host go past the join
+    out = join_groups(rows, key, F.monotonically_increasing_id(), judged, many)
+    past = parsed.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
+    return out.withColumns({"rule": F.col(found_rule), "verdict": F.col(found_verdict)}).select(*past.columns).unionByName(past)
