@@ -60,10 +60,10 @@ SQL = {
         s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
         f AS (SELECT *, 3 * sum(n) OVER () AS twice, sum(w) OVER () AS weights, coalesce(sum(2 * n) OVER o, 0) AS before, coalesce(sum(w) OVER o, 0) AS above FROM s
               WINDOW o AS (ORDER BY 2 * n / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        c AS (SELECT *, 4 * n * (weights - above) <= w * (twice - 2 * before) AS full FROM f),
-        g AS (SELECT *, sum(CASE WHEN full THEN 2 * n ELSE 0 END) OVER () AS fulls, sum(CASE WHEN full THEN w ELSE 0 END) OVER () AS full_w FROM c),
+        c AS (SELECT *, 4 * n * (weights - above) <= w * (twice - 2 * before) AS filled FROM f),
+        g AS (SELECT *, sum(CASE WHEN filled THEN 2 * n ELSE 0 END) OVER () AS fulls, sum(CASE WHEN filled THEN w ELSE 0 END) OVER () AS full_w FROM c),
         -- a target is num / den
-        t AS (SELECT source, no, n, CASE WHEN full THEN 2 * n ELSE w * (twice - 2 * fulls) END::BIGINT AS num, CASE WHEN full THEN 1 ELSE 2 * (weights - full_w) END::BIGINT AS den FROM g),
+        t AS (SELECT source, no, n, CASE WHEN filled THEN 2 * n ELSE w * (twice - 2 * fulls) END::BIGINT AS num, CASE WHEN filled THEN 1 ELSE 2 * (weights - full_w) END::BIGINT AS den FROM g),
         u AS (SELECT *, num::DOUBLE / den AS target, sum(num::DOUBLE / den) OVER () AS total FROM t),
         seats AS (SELECT floor(sum(target) / 64 + 0.5)::BIGINT AS m FROM u),
         q AS (SELECT no, row_number() OVER (ORDER BY num::DOUBLE / (den * (2 * k + 1)) DESC, no) AS place
