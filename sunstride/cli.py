@@ -1,4 +1,4 @@
-"""Command line: inspect a store, build a window index, train, evaluate, run all of it.
+"""Command line: inspect a store, build a window index, train, evaluate, run all of it; compare runs.
 
 A store is a folder of Parquet with grp, ts, row_id and value; a run is configured by a JSON (or YAML) file.
 """
@@ -6,11 +6,12 @@ A store is a folder of Parquet with grp, ts, row_id and value; a run is configur
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import minute_of_day
-from .operators import baselines, forecast_windows, metrics, models, quality, splits
+from .operators import baselines, forecast_windows, metrics, models, quality, scale, splits
 from .session import session
 from .sources import config as configs, sinks
 
@@ -54,13 +55,16 @@ def predict(spark: SparkSession, config: dict, index: DataFrame, load: bool) ->
         out = baselines.with_curve(baselines.with_curve(rows, curve, minute_of_day("issue_time"), "now"), curve, minute_of_day("target_time"), "later")
         out = out.withColumn("y_pred", baselines.clear_sky_forecast(names[-1], "now", "later", capacity))
     else:
-        model = models.Forecaster(name, names, **models.PRESETS[config["model"]["preset"]])
-        path = f"{config['output']['path']}/model"
+        path = config["output"]["path"]
+        scaler = scale.Scaler.load(f"{path}/scaler.json") if load else scale.SCALERS[config["scaler"]](capacity=capacity, windows=forecast_windows.valid_windows(index).where("split = 'train'"))
+        scaled = rows.withColumns({c: scaler.apply(F.col(c)) for c in (*names, "target_y")})
+        model = models.Forecaster(name, names, **models.preset(config["model"]["preset"], config["model"].get("presets")))
         if load:
-            model.load(path)
+            model.load(f"{path}/model")
         else:
-            model.fit(rows.where("split = 'train'")).save(path)
-        out = model.predict(rows)
+            model.fit(scaled.where("split = 'train'")).save(f"{path}/model")
+            scaler.save(f"{path}/scaler.json")
+        out = model.predict(scaled, scaler.inverse).withColumn("target_y", scaler.inverse(F.col("target_y")))
     return out.where("split <> 'train'").withColumnRenamed("target_y", "y_true")
 
 
@@ -72,12 +76,26 @@ def evaluate(spark: SparkSession, config: dict, load: bool = True) -> DataFrame:
     return scores
 
 
+def compare(spark: SparkSession, paths: list[str], out: str | None = None) -> DataFrame:
+    """The metrics of several runs' outputs, best first; as a CSV too where ``out`` is given."""
+    each = [spark.read.json(f"{p}/metrics.json").withColumn("model", F.lit(p.rstrip("/").rsplit("/", 1)[-1])) for p in paths]
+    found = metrics.leaderboard(reduce(DataFrame.unionByName, each).select("model", "split", "n", "rmse", "mae", "mbe", "acc_rmse", "acc_mae"))
+    if out:
+        sinks.comparison(found, out)
+    return found
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     parser = argparse.ArgumentParser(prog="sunstride", description=__doc__)
-    parser.add_argument("command", choices=("inspect", "build-index", "train", "evaluate", "run"))
-    parser.add_argument("config")
+    parser.add_argument("command", choices=("inspect", "build-index", "train", "evaluate", "run", "compare"))
+    parser.add_argument("config", nargs="+", help="a configuration; for compare, the output folders of runs")
     given = parser.parse_args(args)
-    spark, config = spark or session(), configs.load(given.config)
+    spark = spark or session()
+    if given.command == "compare":
+        out = compare(spark, given.config)
+        out.show(100, truncate=False)
+        return out
+    config = configs.load(given.config[0])
     if given.command == "inspect":
         out = inspect(spark, config)
     elif given.command == "build-index":

@@ -19,6 +19,11 @@ def r8(x: Column | str) -> Column:
     return F.round(_c(x), 8)
 
 
+def exact_mean(x: Column | str) -> Column:
+    """Aggregate: the mean as a sum of decimals with twelve digits after the point, so the order of addition doesn't show."""
+    return F.sum(_c(x).cast("decimal(38,12)")).cast("double") / F.count(_c(x))
+
+
 def null_if_nan(x: Column | str) -> Column:
     return F.when(~F.isnan(_c(x)), _c(x))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import clear_sky_index, clip
+from .stats import quantiles
 
 
 def minutes_table(spark: SparkSession, minutes: int = 1440) -> DataFrame:
@@ -28,11 +30,25 @@ def clear_sky_curve(df: DataFrame, minute: Column, power: str, quantile: float =
 
     ``grain`` is the number of minutes that one entry of the curve stands for.
     """
-    found = df.groupBy(F.floor(minute / grain).cast("int").alias("minute")).agg(F.percentile(power, quantile).alias("clear"))
+    found = quantiles(df.select(F.floor(minute / grain).cast("int").alias("minute"), power), power, ["minute"], [quantile]).select("minute", F.col("q")[0].alias("clear"))
     full = minutes_table(df.sparkSession, minutes // grain).join(F.broadcast(found), "minute", "left")  # both are at most a day long
     return smooth_circle(full.select("minute", F.coalesce("clear", F.lit(0.0)).alias("clear")), smooth, minutes // grain)
 
 
+def save_curve(curve: DataFrame, path: str, **about: float) -> None:
+    """The curve as one JSON object with what describes it; an entry for each minute at most, so the driver writes it."""
+    rows = curve.select("minute", "clear").orderBy("minute").collect()
+    with open(path, "w") as f:
+        json.dump(about | {"curve": {str(r["minute"]): r["clear"] for r in rows}}, f)
+
+
+def load_curve(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The curve (minute, clear) and what describes it."""
+    with open(path) as f:
+        about = json.load(f)
+    return spark.createDataFrame([(int(m), float(c)) for m, c in about.pop("curve").items()], "minute int, clear double"), about
+
+
 def with_curve(df: DataFrame, curve: DataFrame, minute: Column, name: str, minutes: int = 1440) -> DataFrame:
     """The curve's value at a minute, taken around the day."""
     at = curve.select(F.col("minute").alias("_m"), F.col("clear").alias(name))
@@ -49,6 +65,11 @@ def climatology(train: DataFrame, keys: Sequence[str], target: str) -> DataFrame
     return train.groupBy(*keys).agg(F.avg(target).alias("climatology"))
 
 
+def in_sample_climatology(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
+    """``y_true`` and ``y_pred``, the mean of the row's own keys; rows with a NULL key have none and go."""
+    return df.join(climatology(df, keys, target).withColumnRenamed("climatology", "y_pred"), list(keys), "inner").withColumnRenamed(target, "y_true")
+
+
 def with_climatology(df: DataFrame, table: DataFrame, keys: Sequence[str], fallback: float | Column, cap: float | None = None) -> DataFrame:
     """``y_pred`` from the table, else the training mean; optionally within [0, cap]."""
     out = df.join(table, list(keys), "left")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .stats import quantiles
+
 
 def bounded_ffill(x: str, by: Sequence[str], order: str, limit: int = 4) -> Column:
     """The last value of the row or of at most ``limit`` rows before it."""
@@ -13,9 +15,12 @@ def bounded_ffill(x: str, by: Sequence[str], order: str, limit: int = 4) -> Colu
 
 
 def medians(train: DataFrame, entity: str, columns: Sequence[str]) -> DataFrame:
-    """Exact medians by entity, and over all rows in the row whose entity is NULL: one scan with grouping sets."""
+    """Exact medians by entity, and over all rows in the row whose entity is NULL."""
     own = train.where(F.col(entity).isNotNull())
-    return own.groupingSets([[entity], []], entity).agg(*(F.median(c).alias(c) for c in columns))
+    values = own.select(F.col(entity).alias("_e"), *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["_e"], list(columns), "_name", "_value")
+    keyed = values.select(F.explode(F.array(F.col("_e"), F.lit(None).cast(own.schema[entity].dataType))).alias("_e"), "_name", "_value")  # each value for its entity and for all
+    found = quantiles(keyed, "_value", ["_e", "_name"], [0.5])
+    return found.groupBy(F.col("_e").alias(entity)).pivot("_name", list(columns)).agg(F.first(F.col("q")[0]))
 
 
 def fill_from_train(df: DataFrame, train: Column, entity: str, columns: Sequence[str], check: bool = True) -> DataFrame:

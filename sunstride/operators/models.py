@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..sources.config import read
 
 
 def _ridge(df: DataFrame, label: str, alpha: float = 1.0, **_) -> LinearRegression:
@@ -32,6 +34,14 @@ MODELS = {"linear": _ridge, "rf": _forest, "gbt": _boosted, "xgboost": _boosted,
 PRESETS = {"fast": {"trees": 5, "depth": 3}, "default": {"trees": 20, "depth": 5}}
 
 
+def preset(name: str, path: str | None = None) -> dict:
+    """A fresh copy of a named preset, of a JSON (or, with that library, YAML) file if one is given."""
+    known = PRESETS if path is None else read(path)
+    if name not in known:
+        raise KeyError(f"no preset {name}; there are {sorted(known)}")
+    return dict(known[name])
+
+
 class Forecaster:
     """fit, predict, save, load. Rows with a missing feature are skipped in fitting and get no prediction."""
 
@@ -46,14 +56,20 @@ class Forecaster:
         self.model = Pipeline(stages=[gather, MODELS[self.name](df, self.label, **self.params)]).fit(df)
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
+    def predict(self, df: DataFrame, inverse: Callable[[Column], Column] | None = None) -> DataFrame:
+        """``df`` with y_pred, in the label's own units if the scaler's ``inverse`` is given. Keys travel with their rows."""
         if self.model is None:
             raise RuntimeError("fit or load the model first")
-        return self.model.transform(df.na.drop(subset=self.features)).withColumnRenamed("prediction", "y_pred").drop("features")
+        out = self.model.transform(df.na.drop(subset=self.features)).withColumnRenamed("prediction", "y_pred").drop("features")
+        return out.withColumn("y_pred", inverse(F.col("y_pred"))) if inverse else out
 
     def importances(self) -> list[tuple[str, float]]:
         return sorted(zip(self.features, map(float, self.model.stages[-1].featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
 
+    def trees(self) -> str:
+        """The trees as text; raises for models that have none."""
+        return self.model.stages[-1].toDebugString
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 

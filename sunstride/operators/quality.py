@@ -48,19 +48,28 @@ def consistency(df: DataFrame, entity: str, rules: Mapping[str, F.Column]) -> Da
 
 
 def schema_profile(df: DataFrame, target: str | None = None) -> DataFrame:
-    """A row for each column: type, non_null, n_unique, least and greatest (as text), mean of numbers, role. One aggregate, then unpivoted."""
-    plain = [(f.name, f.dataType) for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    aggs = []
+    """A row for each plain column: name, dtype, non_null, n_unique, least and greatest as text (numbers, dates and times), mean_value of numbers, role.
+
+    One aggregate gives all but the different values, which are counted by column in one grouping. Means are sums of
+    decimals with twelve digits after the point, so no order of addition shows; only columns too large for that are averaged as doubles.
+    """
+    plain = [(f.name, f.dataType) for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType))]
+    aggs, none = [], F.lit(None).cast("double")
     for name, kind in plain:
-        number = isinstance(kind, T.NumericType)
-        c = F.col(f"`{name}`")
+        c, number, ordered = F.col(f"`{name}`"), isinstance(kind, T.NumericType), isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        exact = F.expr(f"try_cast(`{name}` AS decimal(38, 12))")
+        mean = F.coalesce(F.when(F.count(exact) == F.count(c), F.try_sum(exact).cast("double") / F.count(c)), F.avg(c.cast("double"))) if number else none
+        end = lambda f: f(c).cast("string") if ordered else F.lit(None).cast("string")  # noqa: E731, B023
         aggs += [F.struct(
-            F.lit(name).alias("name"), F.lit(kind.simpleString()).alias("dtype"), F.count(c).alias("non_null"), F.count_distinct(c).alias("n_unique"),
-            (F.min(c).cast("double") if number else F.lit(None).cast("double")).alias("min_value"), (F.max(c).cast("double") if number else F.lit(None).cast("double")).alias("max_value"),
-            (F.avg(c) if number else F.lit(None).cast("double")).alias("mean_value"), F.lit("target" if name == target else "feature").alias("role"),
+            F.lit(name).alias("name"), F.lit(kind.simpleString()).alias("dtype"), F.count(c).alias("non_null"), end(F.min).alias("least"), end(F.max).alias("greatest"),
+            mean.alias("mean_value"), F.lit("target" if name == target else "feature").alias("role"),
         ).alias(f"_{len(aggs)}")]
     one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*one.columns)).alias("v")).select("v.*")
+    rows = one.select(F.explode(F.array(*one.columns)).alias("v")).select("v.*")
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").cast("string").alias("v")) for n, _ in plain))).alias("x")).select("x.*")
+    unique = values.where("v IS NOT NULL").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"))
+    out = rows.join(F.broadcast(unique), "name", "left")  # a row a column
+    return out.select("name", "dtype", "non_null", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), "least", "greatest", "mean_value", "role")
 
 
 def junk_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -39,23 +39,30 @@ class Scaler:
     @classmethod
     def load(cls, path: str) -> Scaler:
         with open(path) as f:
-            return cls(**json.load(f))
+            return rebuilt(json.load(f))
 
 
 def fit_capacity(capacity: float) -> Scaler:
     return Scaler("capacity", 0.0, capacity)
 
 
-def fit_standard(windows: DataFrame, history_rows: str = "history_rows", history: str = "history", target_row: str = "target_row", target: str = "target") -> Scaler:
+def fit_standard(windows: DataFrame, group: str = "grp", history_rows: str = "history_rows", history: str = "history", target_row: str = "target_row", target: str = "target") -> Scaler:
     """Mean and population deviation + 1e-8 over the different rows that training windows touch."""
-    both = F.concat(F.arrays_zip(F.col(history_rows).alias("r"), F.col(history).alias("v")), F.array(F.struct(F.col(target_row).alias("r"), F.col(target).alias("v"))))
-    m, s = touched(windows.select(both.alias("rows"))).agg(F.avg("v"), F.stddev_pop("v")).first()
+    m, s = touched(windows, group, history_rows, history, target_row, target).agg(F.avg("v"), F.stddev_pop("v")).first()
     return Scaler("standard", m, s + 1e-8)
 
 
-def touched(rows: DataFrame) -> DataFrame:
-    """The different (r, v) of arrays of rows."""
-    return rows.select(F.explode("rows").alias("x")).select("x.r", "x.v").distinct()
+def touched(windows: DataFrame, group: str = "grp", history_rows: str = "history_rows", history: str = "history", target_row: str = "target_row", target: str = "target") -> DataFrame:
+    """The different (g, r, v) of the windows' rows: a row number belongs to its group."""
+    both = F.concat(F.arrays_zip(F.col(history_rows).alias("r"), F.col(history).alias("v")), F.array(F.struct(F.col(target_row).alias("r"), F.col(target).alias("v"))))
+    return windows.select(F.col(group).alias("g"), F.explode(both).alias("x")).select("g", "x.r", "x.v").distinct()
+
+
+def rebuilt(saved: dict) -> Scaler:
+    """The scaler that a mapping with its name describes."""
+    if saved.get("name") not in SCALERS:
+        raise ValueError(f"unknown scaler {saved.get('name')}; there are {sorted(SCALERS)}")
+    return Scaler(**saved)
 
 
 SCALERS = {"identity": lambda **_: Scaler(), "capacity": lambda capacity, **_: fit_capacity(capacity), "standard": lambda windows, **_: fit_standard(windows)}

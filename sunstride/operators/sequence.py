@@ -86,6 +86,19 @@ def sliding(df: DataFrame, frame: Sequence[str], ts: str, inputs: Sequence[str],
     return out.where((F.size("y") == horizon) & (F.col("origin") >= history) & (F.size(f"x_{inputs[0]}") == history))
 
 
+def contiguous_frames(df: DataFrame, frame: Sequence[str], columns: Sequence[str], history: int, horizon: int) -> DataFrame:
+    """The frames of at least history + horizon rows. Raises where a column is missing, at run time where a value is, and where no frame is left."""
+    missing = {*frame, *columns} - set(df.columns)
+    if missing:
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    bad = F.greatest(*(F.col(c).isNull().cast("int") for c in columns), F.lit(0)) > 0
+    sizes = df.groupBy(*frame).agg(F.count(F.lit(1)).alias("_n"), F.max(F.when(bad, F.raise_error(F.lit("a frame has missing values")).cast("int")).otherwise(0)).alias("_bad"))
+    sizes = sizes.where((F.col("_n") >= history + horizon) & (F.col("_bad") == 0)).drop("_n", "_bad")
+    if sizes.isEmpty():
+        raise ValueError(f"no frame has {history + horizon} rows")
+    return df.join(sizes, list(frame), "left_semi")
+
+
 def seasonal_naive(target: str, period: int, horizon: int, w: WindowSpec) -> Column:
     """The values one period before the horizon; a period below the horizon would reach into it."""
     if period < horizon:
@@ -108,14 +121,14 @@ def array_var(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + (v.cast("double") - m) * (v.cast("double") - m)) / F.size(x)
 
 
-def revin(df: DataFrame, x: str, eps: float = 1e-5) -> DataFrame:
-    """Each window by its own mean and deviation (columns revin_mean, revin_std and ``x``_norm)."""
+def revin(df: DataFrame, x: str, eps: float = 1e-5, gain: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """Each window by its own mean and deviation (columns revin_mean, revin_std and ``x``_norm), then by the learned gain and shift of its channel."""
     out = df.withColumns({"revin_mean": array_mean(F.col(x)), "revin_std": F.sqrt(array_var(F.col(x)) + eps)})
-    return out.withColumn(f"{x}_norm", F.transform(x, lambda v: (v.cast("double") - F.col("revin_mean")) / F.col("revin_std")))
+    return out.withColumn(f"{x}_norm", F.transform(x, lambda v: (v.cast("double") - F.col("revin_mean")) / F.col("revin_std") * gain + shift))
 
 
-def revin_inverse(x: Column | str) -> Column:
-    return F.transform(x, lambda v: v * F.col("revin_std") + F.col("revin_mean"))
+def revin_inverse(x: Column | str, gain: float = 1.0, shift: float = 0.0) -> Column:
+    return F.transform(x, lambda v: (v - shift) / gain * F.col("revin_std") + F.col("revin_mean"))
 
 
 def patchify(x: str, length: int, size: int, stride: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import r6
+from ..functions import exact_mean, r6, r8
 from ..operators import quality, stats
 from ..sources import adapters
 from .registry import DISPATCH, READINGS, SLOTS, query
@@ -36,16 +36,23 @@ def q_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.consistency(adapters.dispatch(spark, sf_dir), "site", rules)
 
 
-_PROFILE = ("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linenumber")
+_PROFILE = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double",
+    "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
 
 
-@query(" UNION ALL ".join(
-    f"SELECT '{c}' AS name, '{t}' AS dtype, count({c}) AS non_null, count(DISTINCT {c}) AS n_unique, " + ("NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS mean_value" if t == "string" else f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, round(avg({c}), 6) AS mean_value")
-    + f", '{'target' if c == 'l_quantity' else 'feature'}' AS role FROM lineitem" for c, t in zip(_PROFILE, ("bigint", "double", "double", "string", "int"))
-))
+def _profiled(c: str, kind: str) -> str:
+    """Least and greatest are given as whole numbers, as the shortest doubles, or as times."""
+    end = {"string": "NULL", "timestamp_ntz": f"strftime(%s({c}), '%%Y-%%m-%%d %%H:%%M:%%S')"}.get(kind, f"%s({c})::VARCHAR")
+    ends = ", ".join(f"{end % f if '%s' in end else end}::VARCHAR AS {name}" for f, name in (("min", "least"), ("max", "greatest")))
+    mean = "NULL::DOUBLE" if kind in ("string", "timestamp_ntz") else f"round(sum({c}::DECIMAL(38, 12))::DOUBLE / count({c}), 6)"
+    return f"SELECT '{c}' AS name, '{kind}' AS dtype, count({c}) AS non_null, count(DISTINCT {c}) AS n_unique, {ends}, {mean} AS mean_value, '{'target' if c == 'l_quantity' else 'feature'}' AS role FROM lineitem"
+
+
+@query(" UNION ALL ".join(_profiled(*x) for x in _PROFILE.items()))
 def q_schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = adapters.table(spark, sf_dir, "lineitem").select(*_PROFILE)
-    return quality.schema_profile(li, "l_quantity").withColumn("mean_value", r6("mean_value"))
+    return quality.schema_profile(adapters.table(spark, sf_dir, "lineitem"), "l_quantity").withColumn("mean_value", r6("mean_value"))
 
 
 @query("SELECT 'event_type' AS name, count(*) FILTER (TRY_CAST(event_type AS DOUBLE) IS NULL AND event_type IS NOT NULL) AS junk FROM events UNION ALL SELECT 'props', count(*) FILTER (TRY_CAST(props AS DOUBLE) IS NULL AND props IS NOT NULL) FROM events")
@@ -53,9 +60,9 @@ def q_junk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.junk_counts(adapters.table(spark, sf_dir, "events"), ["event_type", "props"])
 
 
-@query(f"WITH {SLOTS} SELECT ts::DATE AS date, count(*) AS n, round(avg(value), 6) AS mean, min(dayofyear(ts))::INT AS doy FROM slots GROUP BY 1")
+@query(f"WITH {SLOTS} SELECT ts::DATE AS date, count(*) AS n, round(sum(value::DECIMAL(38, 12))::DOUBLE / count(value), 8) AS mean, min(dayofyear(ts))::INT AS doy FROM slots GROUP BY 1")
 def q_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.slots(spark, sf_dir).groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), F.min(F.dayofyear("ts")).alias("doy"))
+    return adapters.slots(spark, sf_dir).groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"), r8(exact_mean("value")).alias("mean"), F.min(F.dayofyear("ts")).alias("doy"))
 
 
 @query(f"WITH {SLOTS}, d AS (SELECT ts::DATE AS date, stddev_samp(value) AS s FROM slots GROUP BY 1) SELECT arg_min(date, s) AS least, arg_max(date, s) AS greatest FROM d")
@@ -66,14 +73,17 @@ def q_extreme_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT hour(ts)::INT AS hour, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1")
 def q_diurnal_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = stats.quantile_band(adapters.table(spark, sf_dir, "events"), "value", [F.hour("ts").alias("hour")])
+    b = stats.quantile_band(adapters.table(spark, sf_dir, "events").select(F.hour("ts").alias("hour"), "value"), "value", ["hour"])
     return b.select("hour", r6("mean").alias("mean"), r6("q10").alias("q10"), r6("q90").alias("q90"))
 
 
-@query("SELECT hour(ts)::INT AS hour, " + ", ".join(f"round(avg(value) FILTER (event_type = '{s}'), 6) AS {s}" for s in ("click", "error", "view")) + " FROM events GROUP BY 1")
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT hour(ts)::INT AS hour, " + ", ".join(f"round(avg(value) FILTER (event_type = '{s}'), 6) AS {s}" for s in _TYPES) + " FROM events GROUP BY 1")
 def q_pivot_hour_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = stats.pivot_mean(adapters.table(spark, sf_dir, "events"), F.hour("ts").alias("hour"), "event_type", ["click", "error", "view"], "value")
-    return p.select("hour", *(r6(c).alias(c) for c in ("click", "error", "view")))
+    p = stats.pivot_mean(adapters.table(spark, sf_dir, "events"), F.hour("ts").alias("hour"), "event_type", _TYPES, "value")
+    return p.select("hour", *(r6(c).alias(c) for c in _TYPES))
 
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(avg(l_quantity) FILTER (month(l_shipdate) = {m}), 6) AS m{m:02d}" for m in range(1, 13)) + " FROM lineitem GROUP BY 1")
@@ -126,7 +136,7 @@ def q_even_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.even_picks(e, ["date"], "event_id", 6)
 
 
-@query()
+@query("SELECT event_id, event_type, value FROM events ORDER BY md5('42/' || event_id), event_id LIMIT 500")
 def q_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hash_sample(adapters.table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id", 500)
 
@@ -138,7 +148,8 @@ def q_left_join_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS a FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey AS k, o_totalprice AS b FROM orders), j AS (SELECT * FROM l FULL JOIN r USING (k))
-    SELECT count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a IS NULL) AS only_right, count(*) FILTER (a IS NULL OR b IS NULL) AS missing, round(max(abs(a - b)), 2) AS largest_difference, false AS agrees FROM j""")
+    SELECT count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a IS NULL) AS only_right, count(*) FILTER (a IS NULL OR b IS NULL) AS missing, round(max(abs(a - b)), 2) AS largest_difference,
+    count(*) FILTER (a IS NULL OR b IS NULL) = 0 AND coalesce(max(abs(a - b)), 0) < 1e-6 AS agrees FROM j""")
 def q_join_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = adapters.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v"))
     b = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))

@@ -115,15 +115,25 @@ def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.leaderboard(wide).select("dataset", "model", r6("rmse").alias("rmse"), r6("acc_rmse").alias("acc_rmse"))
 
 
-@query(f"{_LEDGER} SELECT CASE WHEN site = 'click' THEN 'main task' ELSE site || ' / single task' END AS task, arg_min(model, rmse) AS best_model, 'acc_rmse' AS by FROM per GROUP BY 1")
+@query(f"""{_LEDGER} SELECT CASE WHEN site = 'click' THEN 'main task' ELSE site || ' / single task' END AS task, CASE WHEN count(acc) > 0 THEN arg_max(model, acc) ELSE arg_min(model, rmse) END AS best_model, CASE WHEN count(acc) > 0 THEN 'acc_rmse' ELSE 'rmse' END AS by
+    FROM (SELECT site, model, rmse, CASE WHEN site <> 'view' THEN 1 - rmse / 500 END AS acc FROM per) GROUP BY 1""")
 def q_best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = metrics.tag_tasks(ledger(spark, sf_dir), {("click", "persistence"): "main task", ("click", "lag4"): "main task"})
+    # one site is known by its rmse only
+    tagged = metrics.tag_tasks(ledger(spark, sf_dir).where("NOT (dataset = 'view' AND metric = 'acc_rmse')"), {("click", "persistence"): "main task", ("click", "lag4"): "main task"})
     return metrics.best_by_group(tagged)
 
 
-@query(f"{_LEDGER} SELECT site AS dataset, model, round(1 - rmse / 500, 6) AS expected, true AS holds FROM per")
+@query(f"""{_LEDGER}, e AS (SELECT site, unnest(['persistence', 'lag4']) AS model, unnest([abs(y_pred - y_true), abs(lag4 - y_true)]) AS e FROM b WHERE lag4 IS NOT NULL),
+    told AS (SELECT site, model, round(1 - avg(e) / 500, 4) AS acc FROM e GROUP BY site, model)
+    SELECT site AS dataset, model, round(1 - rmse / 500, 6) AS expected, abs(1 - rmse / 500 - CASE WHEN model = 'lag4' THEN acc ELSE 1 - rmse / 500 END) <= 5e-4 AS holds FROM per JOIN told USING (site, model)""")
 def q_metric_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.identity_check(ledger(spark, sf_dir)).select("dataset", "model", r6("expected").alias("expected"), "holds")
+    """The ledger's own rows hold; one model's accuracy is told from its MAE instead, which the check must notice."""
+    own = ledger(spark, sf_dir)
+    a = predicted(spark, sf_dir).withColumn("lag4", F.lag("y_true", 4).over(Window.partitionBy("site").orderBy("target_ts"))).where("lag4 IS NOT NULL")
+    told = a.groupBy(F.col("site").alias("dataset")).agg(F.round(1 - F.avg(F.abs(F.col("lag4") - F.col("y_true"))) / 500.0, 4).alias("value"))
+    told = told.select("dataset", F.lit("lag4").alias("model"), F.lit(500.0).alias("normalized_by"), F.lit("acc_rmse").alias("metric"), "value")
+    mixed = own.where("NOT (model = 'lag4' AND metric = 'acc_rmse')").unionByName(told)
+    return metrics.identity_check(mixed).select("dataset", "model", r6("expected").alias("expected"), "holds")
 
 
 @query(f"{_LEDGER}, w AS (SELECT site, max(rmse) FILTER (model = 'persistence') AS p, max(rmse) FILTER (model = 'lag4') AS l FROM per GROUP BY site) SELECT site, round(p, 6) AS rmse, round(1 - p / l, 6) AS improvement FROM w")
@@ -152,6 +162,16 @@ def q_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_model(spark, sf_dir, "linear")[1])
 
 
+@query(f"""WITH {LED}, f AS (SELECT target_split AS split, target_y AS y, cf_input AS x FROM (SELECT *, lag(cf_input, 96) OVER (PARTITION BY site ORDER BY ts) AS l96 FROM led) WHERE target_y IS NOT NULL AND l96 IS NOT NULL AND cf_input IS NOT NULL),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my FROM f WHERE split = 'train'), w AS (SELECT sum((x - mx) * (y - my)) / (sum((x - mx) ** 2) + 2.5) AS w, any_value(mx) AS mx, any_value(my) AS my FROM f CROSS JOIN m WHERE split = 'train'),
+    p AS (SELECT y, my + w * (x - mx) AS p FROM f CROSS JOIN w WHERE split = 'test')
+    SELECT count(*) AS n, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae FROM p""")
+def q_ridge_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    m = models.Forecaster("linear", ["cf_input"], alpha=2.5).fit(f.where("split = 'train'"))
+    return _scored(m.predict(f.where("split = 'test'")))
+
+
 @query()
 def q_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_model(spark, sf_dir, "rf", trees=5, depth=4)[1])

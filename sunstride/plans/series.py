@@ -56,7 +56,7 @@ def q_physical_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SLOTS} SELECT grp, ts, row_id, value FROM slots")
 def q_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.slots(spark, sf_dir)
+    return grid.first_rows(adapters.crowded(spark, sf_dir), ["grp", "ts"], ["row_id"]).select("grp", "ts", "row_id", "value")
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, TRY_CAST(event_type AS DOUBLE) AS junk, (TRY_CAST(event_type AS DOUBLE) IS NULL AND event_type IS NOT NULL)::INT AS is_junk,
@@ -164,7 +164,7 @@ def q_standardise_train_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale.standardise(prepared(spark, sf_dir), F.col("split") == "train", ["cf_input"]).select("site", "ts", F.round("cf_input_z", 5).alias("z"))
 
 
-@query(f"WITH {SLOTS} SELECT ts, round(CASE WHEN ts - lag(ts) OVER (ORDER BY ts) = INTERVAL '15 minutes' THEN value - lag(value) OVER (ORDER BY ts) END, 6) AS ramp FROM slots")
+@query(f"WITH {SLOTS} SELECT grp, ts, round(CASE WHEN ts - lag(ts) OVER w = INTERVAL '15 minutes' THEN value - lag(value) OVER w END, 6) AS ramp FROM slots WINDOW w AS (PARTITION BY grp ORDER BY ts)")
 def q_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("grp").orderBy("ts")
-    return adapters.slots(spark, sf_dir).select("ts", r6(sequence.ramp("value", "ts", w, 900)).alias("ramp"))
+    return adapters.slots(spark, sf_dir).select("grp", "ts", r6(sequence.ramp("value", "ts", w, 900)).alias("ramp"))

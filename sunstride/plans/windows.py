@@ -153,10 +153,10 @@ def day_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.day_holdout(days, 0.15, "date", F.col("date") < F.lit("2024-01-25").cast("date"))
 
 
-@query(f"WITH {SLOTS} SELECT s.ts, p.split FROM slots s JOIN splits p ON s.ts::DATE = p.date")
+@query(f"WITH {SLOTS} SELECT s.grp, s.ts, p.split FROM slots s JOIN splits p ON s.ts::DATE = p.date")
 def q_day_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = adapters.slots(spark, sf_dir).withColumn("date", F.to_date("ts"))
-    return s.join(F.broadcast(day_splits(spark, sf_dir)), "date").select("ts", "split")  # a row a day
+    return s.join(F.broadcast(day_splits(spark, sf_dir)), "date").select("grp", "ts", "split")  # a row a day
 
 
 @query()
@@ -165,6 +165,11 @@ def q_day_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.day_kfold(spark, days)
 
 
+@query(f"""WITH {SLOTS}, o AS (SELECT date, row_number() OVER (ORDER BY md5('42/' || date), date) - 1 AS k, count(*) OVER () AS n FROM days) SELECT date, floor(k * 10 / n)::INT AS fold FROM o""")
+def q_day_kfold_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.day_kfold_hashed(adapters.slots(spark, sf_dir).select(F.to_date("ts").alias("date")))
+
+
 @query(f"""WITH {SLOTS}, a AS (SELECT DISTINCT ts::DATE AS d FROM slots WHERE ts < TIMESTAMP '2024-01-20 12:00:00'), b AS (SELECT DISTINCT ts::DATE AS d FROM slots WHERE ts >= TIMESTAMP '2024-01-20 12:00:00')
     SELECT 'both' AS side, d AS date FROM (SELECT d FROM a INTERSECT SELECT d FROM b) UNION ALL SELECT 'first', d FROM (SELECT d FROM a EXCEPT SELECT d FROM b) UNION ALL SELECT 'second', d FROM (SELECT d FROM b EXCEPT SELECT d FROM a)""")
 def q_split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +180,10 @@ def q_split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast_windows.window_index(adapters.slots(spark, sf_dir), day_splits(spark, sf_dir), 60, 15, 15, {"train": 30, "validation": 15, "test": 15})
+    return forecast_windows.window_index(adapters.crowded(spark, sf_dir), day_splits(spark, sf_dir), 60, 15, 15, {"train": 30, "validation": 15, "test": 15})
 
 
-@query(f"WITH RECURSIVE {VALID} SELECT grp, issue_row, issue_time, split, history_rows, target_row, target_time, sample_index::INT AS sample_index FROM valid")
+@query(f"WITH RECURSIVE {VALID} SELECT grp, issue_row, issue_time, split, history_rows, target_row, target_time, sample_index FROM valid")
 def q_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_windows.valid_windows(index(spark, sf_dir)).select("grp", "issue_row", "issue_time", "split", "history_rows", "target_row", "target_time", "sample_index")
 
@@ -188,12 +193,11 @@ def q_window_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_windows.report(index(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {VALID}, r AS (SELECT unnest(list_append(history_rows, target_row)) AS r, unnest(list_append(history, target)) AS v FROM valid WHERE split = 'train'), d AS (SELECT DISTINCT r, v FROM r)
+@query(f"""WITH RECURSIVE {VALID}, r AS (SELECT grp, unnest(list_append(history_rows, target_row)) AS r, unnest(list_append(history, target)) AS v FROM valid WHERE split = 'train'), d AS (SELECT DISTINCT grp, r, v FROM r)
     SELECT count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-8, 6) AS scale FROM d""")
 def q_power_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = forecast_windows.valid_windows(index(spark, sf_dir)).where("split = 'train'")
-    both = F.concat(F.arrays_zip(F.col("history_rows").alias("r"), F.col("history").alias("v")), F.array(F.struct(F.col("target_row").alias("r"), F.col("target").alias("v"))))
-    return scale.touched(w.select(both.alias("rows"))).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v") + 1e-8).alias("scale"))
+    return scale.touched(w).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v") + 1e-8).alias("scale"))
 
 
 def rule_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +206,7 @@ def rule_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("grp", "split", "sample_index", "issue_time", "target_time", F.element_at("history", -1).alias("p_now"), F.col("target").alias("y_true"))
 
 
-@query(f"WITH RECURSIVE {VALID} SELECT split, sample_index::INT AS sample_index, issue_time, target_time, target AS y_true, history[-1] AS y_pred FROM valid")
+@query(f"WITH RECURSIVE {VALID} SELECT split, sample_index, issue_time, target_time, target AS y_true, history[-1] AS y_pred FROM valid")
 def q_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_frame(spark, sf_dir).select("split", "sample_index", "issue_time", "target_time", "y_true", F.col("p_now").alias("y_pred"))
 
@@ -223,7 +227,7 @@ def q_clear_sky_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve(spark, sf_dir).select("minute", r6("clear").alias("clear"))
 
 
-@query(f"""WITH RECURSIVE {VALID}, {_CURVE} SELECT split, sample_index::INT AS sample_index, target AS y_true, round(least(greatest(history[-1] / greatest(a.clear, 0.5) * b.clear, 0), 500), 6) AS y_pred
+@query(f"""WITH RECURSIVE {VALID}, {_CURVE} SELECT split, sample_index, target AS y_true, round(least(greatest(history[-1] / greatest(a.clear, 0.5) * b.clear, 0), 500), 6) AS y_pred
     FROM valid v JOIN curve a ON a.minute = (hour(v.issue_time) * 60 + minute(v.issue_time)) // 15 JOIN curve b ON b.minute = (hour(v.target_time) * 60 + minute(v.target_time)) // 15""")
 def q_clear_sky_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f = curve(spark, sf_dir), rule_frame(spark, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators.grid import blocks, first_rows
+from ..operators.grid import blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,17 @@ def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grp (two), ts (15 min), row_id, value, place: the first two events of each group's slot, at the same time. Both groups number their rows from the same slot on."""
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_type").isin("click", "error"), "a").otherwise("b").alias("grp"), "event_id", slot_of("ts").alias("ts"), "value")
+    e = e.withColumn("place", F.row_number().over(Window.partitionBy("grp", "ts").orderBy("event_id"))).where("place <= 2")
+    number = 2 * (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 900_000_000) - 1_893_408) + F.col("place") - 1  # slots since 2024
+    return e.select("grp", "ts", number.cast("long").alias("row_id"), "value", "place")
+
+
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """grp, ts (15 min), row_id, value: the first event of each slot."""
-    e = table(spark, sf_dir, "events").select("event_id", slot_of("ts").alias("ts"), "value")
-    return first_rows(e, ["ts"], ["event_id"]).select(F.lit("all").alias("grp"), "ts", F.col("event_id").alias("row_id"), "value")
+    """grp, ts, row_id, value: one row for each time of a group."""
+    return crowded(spark, sf_dir).where("place = 1").drop("place")
 
 
 def tensor(spark: SparkSession, sf_dir: str) -> DataFrame:

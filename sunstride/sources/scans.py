@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -41,6 +43,12 @@ def assemble_day_ahead(train: DataFrame, predictors: DataFrame, solution: DataFr
     return out.withColumn("POWER", F.coalesce("POWER", F.raise_error(F.lit("a weather row has no power")).cast("double")))
 
 
+def load_zones(combined: DataFrame, zones: Sequence[int], measures: Sequence[str] = PREDICTORS) -> tuple[dict[int, DataFrame], DataFrame]:
+    """ts, ZONE, POWER and the measures of the wanted zones: a frame for each zone, and all of them. The filter reaches the scan."""
+    every = combined.where(F.col("ZONE").isin(*zones)).select("ts", "ZONE", "POWER", *measures)
+    return {z: every.where(F.col("ZONE") == z) for z in zones}, every
+
+
 def harmonise(df: DataFrame, headers=HEADERS, measures: Sequence[str] = STATION) -> DataFrame:
     """Renames by what headers contain, in order, and adds absent measures as NULL."""
     names: dict[str, str] = {}
@@ -53,34 +61,54 @@ def harmonise(df: DataFrame, headers=HEADERS, measures: Sequence[str] = STATION)
     return out.withColumns({m: F.lit(None).cast("string") for m in measures if m not in out.columns})
 
 
+_STATION_FILE = re.compile(r"site (?P<site>\d+).*?capacity-(?P<capacity>\d+)MW|capacity-(?P<capacity2>\d+)MW.*?site (?P<site2>\d+)")
+
+
 def stations(spark: SparkSession, paths: Sequence[str], sites: Sequence[int] | None = None) -> DataFrame:
-    """CSV exports of station workbooks; site and capacity come from the file name, and files of other sites aren't opened."""
-    out, order = None, 0
-    for path in sorted(paths):
-        name = path.rsplit("/", 1)[-1]
-        site, capacity = re.search(r"site (\d+)", name), re.search(r"capacity-(\d+)MW", name)
-        if not site or not capacity:
-            raise ValueError(f"no site or capacity in {name}")
-        if sites is not None and int(site[1]) not in sites:
-            continue
-        one = harmonise(spark.read.csv(path, header=True))
-        one = one.withColumns({m: lenient_double(m) for m in STATION} | {"ts": F.try_to_timestamp(F.col("ts")).cast("timestamp_ntz")})
-        one = one.select("ts", *STATION, F.lit(int(site[1])).alias("site"), F.lit(float(capacity[1])).alias("capacity"), F.lit(order).alias("file_order"), F.monotonically_increasing_id().alias("row_order"))
-        out, order = one if out is None else out.unionByName(one), order + 1
-    if out is None:
+    """CSV exports of station workbooks; site and capacity come from the file name, and files of other sites aren't opened.
+
+    Files with the same header are one scan, so the plan grows with the different headers and not with the files.
+    """
+    about = {}
+    for p in paths:
+        if not (found := _STATION_FILE.search(os.path.basename(p))):
+            raise ValueError(f"no site or capacity in {os.path.basename(p)}")
+        about[p] = (int(found["site"] or found["site2"]), float(found["capacity"] or found["capacity2"]))
+    wanted = sorted(p for p, (site, _) in about.items() if sites is None or site in sites)
+    if not wanted:
         raise ValueError("no station file")
-    return out.na.drop(subset=["ts"])
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for p in wanted:
+        headers.setdefault(tuple(spark.read.csv(p, header=True).columns), []).append(p)
+    name = lambda path: F.element_at(F.split(path, "/"), -1)
+    files = spark.createDataFrame([(os.path.basename(p), *about[p], k) for k, p in enumerate(wanted)], "_name string, site int, capacity double, file_order int")
+    typed = {m: lenient_double(m) for m in STATION} | {"ts": F.try_to_timestamp(F.col("ts")).cast("timestamp_ntz")}
+    parts = []
+    for columns, group in headers.items():
+        raw = spark.read.csv(group, header=True).select("*", F.url_decode(name(F.col("_metadata.file_path"))).alias("_file"), F.monotonically_increasing_id().alias("_row"))
+        one = harmonise(raw, (*HEADERS, ("^_file", "_file"), ("^_row", "row_order")))
+        parts.append(one.withColumns(typed).select("ts", *STATION, "_file", "row_order"))
+    rows = reduce(DataFrame.unionByName, parts).join(F.broadcast(files), F.col("_file") == F.col("_name"))  # a row a file
+    return rows.select("ts", *STATION, "site", "capacity", "file_order", "row_order").na.drop(subset=["ts"])
 
 
 def shards(spark: SparkSession, path: str, group: str, columns: Sequence[str] = ("time", "pv")) -> DataFrame:
-    """Parquet shards of one group with the row's place; images are read only where asked for. The schema is checked from the footers."""
+    """Parquet shards of one group with the row's place; images are read only where asked for. Names and types are checked from the footers."""
     raw = spark.read.parquet(path)
-    missing = {"image", "time", "pv"} - set(raw.columns)
-    if missing:
+    kinds = {f.name: f.dataType for f in raw.schema.fields}
+    if missing := set(SHARD.names) - set(kinds):
         raise ValueError(f"shards lack {sorted(missing)}")
+    wrong = [f.name for f in SHARD.fields if not (kinds[f.name] == f.dataType or (isinstance(f.dataType, T.TimestampType) and isinstance(kinds[f.name], T.TimestampNTZType)))]
+    if wrong:
+        raise ValueError(f"shards have other types: { {n: kinds[n].simpleString() for n in wrong} }")
     return raw.select(F.lit(group).alias("grp"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"), *columns)
 
 
+def shard_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of each shard file, by the row numbers that its scan gives."""
+    return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def gather_rows(store: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted (grp, file, row_index) with the store's columns: one join, not a lookup a row."""
     return wanted.join(store, ["grp", "file", "row_index"])
@@ -118,14 +146,17 @@ def channels_first(pixels: str, channels: int = 3) -> F.Column:
 
 
 def metrics_from_notebooks(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
-    """(name, rmse, mae) of lines ``NAME RMSE=x MAE=y`` in notebooks' outputs; raises if a wanted name is missing."""
+    """(name, rmse, mae) of lines ``NAME RMSE=x MAE=y`` in notebooks' outputs, printed or results; of a repeated name the last in a notebook counts. Raises if a wanted name is missing."""
     line = T.ArrayType(T.StringType())
-    schema = T.StructType([T.StructField("cells", T.ArrayType(T.StructType([T.StructField("outputs", T.ArrayType(T.StructType([T.StructField("text", line)])))])))])
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("n"))
-    lines = text.select(F.explode("n.cells.outputs").alias("o")).select(F.explode("o.text").alias("t")).select(F.explode("t").alias("line"))
-    part = lambda k: F.regexp_extract("line", r"^\s*(.+?)\s+RMSE=([0-9.eE+-]+)\s+MAE=([0-9.eE+-]+)", k)
-    found = lines.select(part(1).alias("name"), part(2).alias("rmse"), part(3).alias("mae")).where(F.col("name").isin(*wanted))
-    found = found.select("name", F.col("rmse").cast("double").alias("rmse"), F.col("mae").cast("double").alias("mae")).dropDuplicates(["name"])
+    output = T.StructType([T.StructField("text", line), T.StructField("data", T.StructType([T.StructField("text/plain", line)]))])
+    schema = T.StructType([T.StructField("cells", T.ArrayType(T.StructType([T.StructField("outputs", T.ArrayType(output))])))])
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("n"))
+    outputs = text.select("file", F.posexplode(F.flatten(F.transform("n.cells", lambda c: F.coalesce(c["outputs"], F.array().cast(T.ArrayType(output)))))).alias("at", "o"))
+    printed = F.concat(F.coalesce("o.text", F.array().cast(line)), F.coalesce(F.col("o.data").getField("text/plain"), F.array().cast(line)))
+    lines = outputs.select("file", "at", F.posexplode(F.split(F.array_join(printed, ""), "\n")).alias("line_at", "line"))
+    part = lambda k: F.regexp_extract("line", r"^\s*['\"]?(.+?)\s+RMSE=([0-9.eE+-]+)\s+MAE=([0-9.eE+-]+)", k)
+    named = lines.withColumns({"name": part(1), "_rmse": part(2), "_mae": part(3)}).where(F.col("name").isin(*wanted))
+    found = named.groupBy("name").agg(F.max_by(F.struct(F.col("_rmse").cast("double").alias("rmse"), F.col("_mae").cast("double").alias("mae")), F.struct("file", "at", "line_at")).alias("m")).select("name", "m.*")
     lack = set(wanted) - {r[0] for r in found.select("name").collect()}
     if lack:
         raise ValueError(f"no metrics of {sorted(lack)}")

@@ -1,6 +1,7 @@
 """Operators on small frames with values worked out by hand."""
 
 import json
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from sunstride import cli
 from sunstride.functions import capacity_factor, clear_sky_index, clip, clip_low, in_range, local_time, null_if_nan, one_hot, split_by_cuts, valid_power, zscore
-from sunstride.operators import baselines, forecast_windows, grid, impute, loader, metrics, models, quality, scale, sequence, splits, stats
+from sunstride.operators import baselines, chain, forecast_windows, grid, impute, loader, metrics, models, networks, quality, scale, sequence, splits, stats
 from sunstride.sources import config, scans, sinks
 
 T0 = datetime(2017, 6, 1, 7)
@@ -146,14 +147,29 @@ def test_thinning_is_the_sequential_rule(spark):
     for _ in range(300):
         t += timedelta(seconds=r.choice((20, 60, 61, 200, 900)))
         times.append(t)
-    d = spark.createDataFrame([("a", x) for x in times], "g string, ts timestamp_ntz")
-    got = sorted(x["ts"] for x in forecast_windows.thinned(d, ["g"], "ts", F.lit(5)).where("accepted").collect())
-    want, last = [], None
-    for x in times:
-        if last is None or x - last >= timedelta(minutes=5):
-            want.append(x)
-            last = x
-    assert got == want
+    times += [times[-1] + timedelta(days=k, minutes=30 * j) for k in (1, 2, 5) for j in range(48)]  # runs over midnight, days without a row
+    rows = [(g, x, 2 * k + j) for g in "ab" for k, x in enumerate(times) for j in range(r.choice((1, 2)))]  # equal times, the same numbers in both groups
+    d = spark.createDataFrame(rows, "g string, ts timestamp_ntz, row_id long").repartition(3)
+    for stride in (5, 45, 3000):
+        got = sorted((x["g"], x["row_id"]) for x in forecast_windows.thinned(d, ["g"], "ts", F.lit(stride), "row_id").where("accepted").collect())
+        want, last = [], {}
+        for g, x, k in rows:
+            if g not in last or x - last[g] >= timedelta(minutes=stride):
+                want.append((g, k))
+                last[g] = x
+        assert got == want
+
+
+def test_windows_of_groups_with_the_same_row_numbers(spark, monkeypatch):
+    monkeypatch.setattr(forecast_windows, "_ROWS", 7)  # several stretches of ranks
+    rows = [(g, t + timedelta(days=d), k, float(k)) for d, g in enumerate(("g0", "g1")) for k, t in enumerate(minutes(40))]
+    days = spark.createDataFrame([((T0 + timedelta(days=d)).date(), "train") for d in (0, 1)], "date date, split string")
+    index = forecast_windows.window_index(spark.createDataFrame(rows, "grp string, ts timestamp_ntz, row_id long, value double"), days, 15, 1, 15, {"train": 1})
+    assert {r["reason"]: r["n"] for r in forecast_windows.report(index).where("split IS NULL").collect()} == {"rejected_missing_history": 30, "rejected_missing_target": 30, "valid": 20}
+    v = forecast_windows.valid_windows(index).orderBy("sample_index").collect()
+    assert [(r["grp"], r["issue_row"]) for r in v] == [(g, k) for g in ("g0", "g1") for k in range(15, 25)] and [r["sample_index"] for r in v] == list(range(20))
+    assert all(len(r["history_rows"]) == 16 for r in v)
+    assert scale.touched(index.where("reason = 'valid'")).count() == 2 * 35  # rows 0 to 24 and 30 to 39
 
 
 def test_windows_do_not_cross_splits_or_gaps(spark):
@@ -170,6 +186,29 @@ def test_windows_do_not_cross_splits_or_gaps(spark):
         forecast_windows.window_index(store(spark), days, 15, 4, 15, {"train": 1})
 
 
+def test_cuts_in_narrowed_stretches(spark, monkeypatch):
+    monkeypatch.setattr(splits, "_SORTED", 5)
+    monkeypatch.setattr(splits, "_STRETCHES", 3)
+    times = [T0 + timedelta(seconds=k**3) for k in range(50)]
+    d = spark.createDataFrame([(t,) for t in times * 2] + [(None,)], "ts timestamp_ntz")
+    assert splits.cut_points(d, "ts", (0.1, 0.3, 0.6)) == [times[5], times[20]]
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(stats, "_STRETCHES", 4)
+    r = np.random.default_rng(5)
+    sets = {"a": r.normal(size=101).round(1).tolist(), "b": [3.0], None: [1.0, 1.0, 1.0, 1e300, -1e300], "c": [None, float("nan")], "d": [7.0, 7.0]}
+    d = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "k string, v double").repartition(3)
+    wanted = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {x["k"]: x["q"] for x in stats.quantiles(d, "v", ["k"], wanted).collect()}
+    assert set(got) == {"a", "b", None, "d"}
+    for k, q in got.items():
+        assert q == pytest.approx(np.quantile(sets[k], wanted).tolist())
+    assert stats.quantiles(d.where("k = 'a'"), "v", [], [0.5]).first()["q"] == pytest.approx([np.median(sets["a"])])
+
+
 def test_cuts_truncate_in_floating_point(spark):
     d = spark.createDataFrame([(T0 + timedelta(days=k),) for k in range(100)], "ts timestamp_ntz")
     assert splits.cut_points(d, "ts", (0.29, 0.71)) == [T0 + timedelta(days=28)]
@@ -201,7 +240,8 @@ def test_day_splits(spark):
 
 
 def test_manifest(spark, tmp_path):
-    m = splits.Manifest(("2017-06-01",), ("2017-06-02",), ("2017-07-01",))
+    m = splits.Manifest(("2017-06-01",), ("2017-06-02",), ("2017-07-01",), params={"fraction": 0.1})
+    assert m.overlap() == {"train_validation": 0, "train_test": 0, "validation_test": 0} and m.created_at
     m.save(str(tmp_path / "m.json"))
     assert splits.Manifest.load(str(tmp_path / "m.json")) == m and m.split_of("2017-06-02") == "validation" and m.split_of("x") is None
     assert m.table(spark).count() == 3
@@ -230,6 +270,8 @@ def test_scalers(spark, tmp_path):
         s.save(str(tmp_path / "s.json"))
         s = scale.Scaler.load(str(tmp_path / "s.json"))
         assert [r[0] for r in d.select(s.inverse(s.apply(F.col("x")))).collect()] == pytest.approx([0.0, 5.0, 15.0, 29.5])
+    with pytest.raises(ValueError):
+        scale.rebuilt({"name": "none"})
     z = d.select(zscore("x", F.lit(1.0), F.lit(0.0)), clear_sky_index("x", F.lit(0.1)), local_time(F.lit(T0), 10)).first()
     assert z[0] == -1.0 and z[1] == 0.0 and z[2] == T0 + timedelta(hours=10)
     flat = scale.standardise(spark.createDataFrame([(1.0, True), (3.0, True), (9.0, False)], "x double, t boolean"), F.col("t"), ["x"])
@@ -244,7 +286,60 @@ def test_curve_goes_round_the_day(spark):
     assert baselines.smooth_circle(full, 1, 6) is full
 
 
+def test_curve_is_kept_and_climatology_in_sample(spark, tmp_path):
+    curve = spark.createDataFrame([(k, float(k % 5)) for k in range(1440)], "minute int, clear double")
+    baselines.save_curve(curve, str(tmp_path / "c.json"), quantile=0.95)
+    back, about = baselines.load_curve(spark, str(tmp_path / "c.json"))
+    assert one(back) == one(curve) and about == {"quantile": 0.95}
+    d = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0), (None, 9.0)], "hour int, y double")
+    assert sorted((r["hour"], r["y_true"], r["y_pred"]) for r in baselines.in_sample_climatology(d, ["hour"], "y").collect()) == [(1, 1.0, 2.0), (1, 3.0, 2.0), (2, 5.0, 5.0)]
+
+
+def test_feature_steps_go_in_order(spark):
+    d = spark.createDataFrame([(T0, 3.0, 4.0, 1.0)], "ts timestamp_ntz, VAR165 double, VAR166 double, VAR169_dea double")
+    r = chain.chained(d, [chain.wind(), chain.cyclic_time(), chain.local_calendar()]).first()
+    assert r["wind_speed"] == 5.0 and r["hour"] == (T0 + timedelta(hours=10)).hour and r["is_daytime"] and -1 <= r["doy_cos"] <= 1
+    with pytest.raises(ValueError):
+        chain.chained(d, [chain.cyclic_time()])
+
+
+def test_frames_keep_their_contract(spark):
+    p = panel(spark, [float(k) for k in range(10)], 1440).withColumn("f", F.when(F.col("y") < 7, 0).otherwise(1))
+    assert sequence.contiguous_frames(p, ["f"], ["y"], 4, 2).count() == 7
+    for bad, text in ((lambda: sequence.contiguous_frames(p, ["f"], ["none"], 4, 2), "missing columns"), (lambda: sequence.contiguous_frames(p, ["f"], ["y"], 9, 9), "no frame"), (lambda: sequence.contiguous_frames(p.withColumn("y", F.when(F.col("y") != 3, F.col("y"))), ["f"], ["y"], 4, 2), "missing values")):
+        with pytest.raises(Exception, match=text):
+            bad()
+
+
+def test_network_learns_and_keeps_its_best_weights(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = r.uniform(-1, 1, (1200, 2))
+    d = spark.createDataFrame([(float(a), float(b), float(np.maximum(a, 0) - b), 1.0) for a, b in x] + [(None, 1.0, 1.0, 1.0)], "a double, b double, target_y double, w double").repartition(3)
+    n = networks.Network(["a", "b"], (16,), weight="w", epochs=25, rate=0.02, batch=32, patience=6).fit(d.where("a < 0.6 OR a IS NULL"), d.where("a >= 0.6"))
+    assert min(n.losses) < 0.02 and n._loss(n._rows(d.where("a >= 0.6")), n.layers) == pytest.approx(min(n.losses))
+    n.save(str(tmp_path / "n.json")), n.save(str(tmp_path / "last.json"), "last")
+    back = networks.Network.load(str(tmp_path / "n.json"))
+    p = back.predict(d)
+    assert p.count() == 1200 and p.agg(F.avg(F.abs(F.col("y_pred") - F.col("target_y")))).first()[0] < 0.15
+    with pytest.raises(ValueError):
+        n.fit(d.limit(0), d)
+    # the gradient against differences
+    layers = networks.start([2, 3, 1], 1)
+    y, w = r.normal(size=5), r.uniform(0.5, 1, 5)
+    loss = lambda: float((w * (networks.forward(layers, x[:5])[-1][:, 0] - y) ** 2).sum() / w.sum())
+    g = networks.gradients(layers, x[:5], y, w)
+    before = loss()
+    layers[0][0][0, 1] += 1e-6
+    assert (loss() - before) / 1e-6 == pytest.approx(g[0][0][0, 1], abs=1e-4)
+
+
 def test_reports(spark):
+    t = spark.createDataFrame([(1, 0.1, "x", T0, [1]), (3, None, "y", None, [2]), (None, 0.3, "y", T0, None)], "a int, b double, c string, d timestamp_ntz, e array<int>")
+    got = {r["name"]: tuple(r) for r in quality.schema_profile(t, "b").collect()}
+    assert got["a"] == ("a", "int", 2, 2, "1", "3", 2.0, "feature") and got["b"] == ("b", "double", 2, 2, "0.1", "0.3", 0.2, "target")
+    assert got["c"] == ("c", "string", 3, 2, None, None, None, "feature") and got["d"][3] == 1 and got["d"][4] == str(T0) and "e" not in got
     d = spark.createDataFrame([("g", T0 + timedelta(seconds=s), -1.0, k) for k, s in enumerate((0, 60, 60, 30, 200000))], "grp string, ts timestamp_ntz, value double, o int")
     r = quality.store_report(d, "grp", "ts", "value", ["o"]).collect()[0]
     assert (r["n_rows"], r["negatives"], r["duplicates"], r["non_monotonic"], r["gaps_over_minute"], r["gaps_over_day"], r["largest_gap_s"]) == (5, 5, 1, 1, 1, 1, 199970.0)
@@ -295,6 +390,19 @@ def test_scans(spark, tmp_path):
     assert one(scans.metrics_from_notebooks(spark, str(tmp_path / "n.ipynb"), ["XGB"])) == [("XGB", 0.1, 0.05)]
     with pytest.raises(ValueError):
         scans.metrics_from_notebooks(spark, str(tmp_path / "n.ipynb"), ["None"])
+    (tmp_path / "r.ipynb").write_text(json.dumps({"cells": [{"source": []}, {"outputs": [{"text": ["XGB RMSE=0.10 MAE=0.05\n"]}, {"data": {"text/plain": ["'PV net RMSE=0.3 MAE=0.2'"]}}, {"text": ["XGB RMSE=0.20 MAE=0.15\n"]}]}]}))
+    assert one(scans.metrics_from_notebooks(spark, str(tmp_path / "r.ipynb"), ["XGB", "PV net"])) == [("PV net", 0.3, 0.2), ("XGB", 0.2, 0.15)]
+    weather = spark.createDataFrame([(T0, z, 0.1 * z, 1.0) for z in (1, 2, 3)], "ts timestamp_ntz, ZONE int, POWER double, VAR78 double")
+    zones, every = scans.load_zones(weather, [1, 3], ["VAR78"])
+    assert sorted(zones) == [1, 3] and zones[3].count() == 1 and every.count() == 2
+    wrong = spark.createDataFrame([((bytearray(b"x"), None), datetime(2020, 1, 1), "1")], "image struct<bytes: binary, path: string>, time timestamp, pv string")
+    wrong.write.parquet(str(tmp_path / "wrong"))
+    with pytest.raises(ValueError, match="other types"):
+        scans.shards(spark, str(tmp_path / "wrong"), "test")
+    (tmp_path / "p.json").write_text('{"tiny": {"trees": 2}}')
+    assert models.preset("tiny", str(tmp_path / "p.json")) == {"trees": 2} and models.preset("fast")["trees"] == 5
+    with pytest.raises(KeyError):
+        models.preset("none")
     d = spark.createDataFrame([((bytearray(b"x"), None), datetime(2020, 1, 1), 1.0)], scans.SHARD)
     d.write.parquet(str(tmp_path / "shard"))
     rows = scans.shards(spark, str(tmp_path / "shard"), "test")
@@ -304,6 +412,8 @@ def test_scans(spark, tmp_path):
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"split": {"seed": null}, "scaler": "capacity"}')
     c = config.load(str(tmp_path / "c.json"))
+    assert config.merged({"a": {"b": {}}, "data": {}, "split": 3}, {"a": {"b": {"c": 1}, "d": 2}, "data": {"x": None}, "split": {"y": 1}}) == {"a": {"b": {"c": 1}, "d": 2}, "data": {"x": None}, "split": 3}
+    assert config.merged(None) == config.DEFAULTS and config.merged({"model": {"new": {"k": [1]}}, "scaler": {"deep": 1}})["scaler"] == {"deep": 1}
     assert c["split"]["seed"] is None and c["split"]["strategy"] == "holdout" and c["scaler"] == "capacity" and len(config.digest(c)) == 16
 
 
@@ -312,11 +422,15 @@ def test_sinks_and_command_line(spark, tmp_path):
     sinks.table(spark.createDataFrame(rows, "grp string, ts timestamp_ntz, row_id long, value double"), str(tmp_path / "store"), ("grp",))
     base = {"data": {"path": str(tmp_path / "store")}, "output": {"path": str(tmp_path / "out")}, "split": {"validation_fraction": 0.3}, "strides": {"train": 15, "validation": 15, "test": 15}}
     for name, commands in (("persistence", ["inspect", "build-index", "run"]), ("clear_sky", ["run"]), ("linear", ["train", "evaluate"])):
-        (tmp_path / "c.json").write_text(json.dumps(base | {"model": {"name": name, "capacity": 9.0}}))
+        (tmp_path / "c.json").write_text(json.dumps(base | {"scaler": "standard", "model": {"name": name, "capacity": 9.0}}))
         for command in commands:
             assert cli.main([command, str(tmp_path / "c.json")], spark).count() > 0
     assert spark.read.parquet(str(tmp_path / "out/predictions.parquet")).count() > 0
     assert json.loads(spark.read.text(str(tmp_path / "out/metrics.json")).first()[0])["n"] > 0
+    assert scale.Scaler.load(str(tmp_path / "out/scaler.json")).name == "standard"
+    near = spark.read.parquet(str(tmp_path / "out/predictions.parquet")).agg(F.max("y_true"), F.max(F.abs("y_pred"))).first()
+    assert near[0] > 1.0 and near[1] < 100  # in units of the store again
+    assert cli.main(["compare", str(tmp_path / "out")], spark).count() > 0
     sinks.comparison(spark.range(3).toDF("a"), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
     (tmp_path / "c.json").write_text(json.dumps(base | {"model": {"name": "rf"}, "output": {"path": str(tmp_path / "none")}}))
@@ -354,15 +468,19 @@ def test_streams(spark, tmp_path):
     from sunstride.streaming import stream_ramps, stream_readings, stream_thinned
 
     rows = [("a", T0 + timedelta(minutes=4 * k), float(k)) for k in range(12)]
-    spark.createDataFrame(rows, "event_type string, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("event_type string, ts timestamp_ntz, value double").parquet(str(tmp_path / "in"))
+    later = [("a", T0 + timedelta(hours=5), 99.0)]  # moves the watermark past the others
+    schema = "event_type string, ts timestamp_ntz, value double"
+    for k, part in enumerate((rows[6:], rows[:6], later, [("a", T0, 50.0)])):  # out of order, and one row that is too late
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
     def run(df, mode, name):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.table(name)
 
-    assert run(stream_readings(stream), "update", "r").count() == 3
+    assert run(stream_readings(stream), "append", "r").count() == 3
     assert run(stream_thinned(stream, "event_type", "ts", 600), "append", "t").count() == 4
     assert [r["ramp"] for r in run(stream_ramps(stream, "event_type", "ts", "value"), "append", "p").orderBy("us").collect()] == [None] + [1.0] * 11
 
