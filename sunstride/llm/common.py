@@ -77,6 +77,16 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(ident: str, text_hash: Column) -> Column:
+    """A name for a row by its identifier and the hash of its text: an identifier may repeat with other texts."""
+    return F.md5(F.concat_ws("/", F.coalesce(F.col(ident).cast("string"), F.lit("-")), F.hex(text_hash)).cast("binary"))
+
+
+def text_hash(text: str) -> Column:
+    """128 bits of a text's bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many marks before it as keep it apart from the columns of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

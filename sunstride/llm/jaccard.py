@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import discard, free, in_bloom, join_groups, settled, spread
+from .common import discard, free, in_bloom, join_groups, row_key, settled, spread, text_hash
 from .components import components
 from .labelled import lean, small_batches
 
@@ -218,17 +218,13 @@ def _dealt(docs: DataFrame, ident: str, text: str, parts: int, width: int, held:
         yield from rows(part.rest())
 
     body = F.col(text).cast("binary")
-    packed = spread(docs.select(F.col(ident), body, _body_hash(text))).mapInArrow(lean(deal), f"doc_id {kind}, n int, class binary, body_hash binary, part int, keys binary, classes binary, sizes binary")
+    packed = spread(docs.select(F.col(ident), body, text_hash(text))).mapInArrow(lean(deal), f"doc_id {kind}, n int, class binary, body_hash binary, part int, keys binary, classes binary, sizes binary")
     tasks = min(parts, _MOST_TASKS)
     met = packed.repartitionById(tasks, F.pmod("part", F.lit(tasks)))
     met = met.sortWithinPartitions("part") if parts > tasks else met
     return met.mapInArrow(lean(meet), f"doc_id {kind}, n int, class binary, body_hash binary, key long, df int")
 
 
-def _body_hash(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-
-
 class Tree:
     """Count vectors packed into nodes of ``fan`` points and nodes of as many nodes, with their upper corners."""
 
@@ -289,7 +285,7 @@ def forest(sets: list[np.ndarray], asked: list[bool] | None = None) -> list[tupl
 
 
 def _links(rows: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) between the classes of each group; rows has grp (long), class, body (binary) and asked (boolean)."""
+    """Links (a, b) between the classes of each group; rows has grp (long), node, body (binary) and asked (boolean)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, now, held = Shingler(width), None, ([], [], [])
@@ -297,7 +293,7 @@ def _links(rows: DataFrame, width: int) -> DataFrame:
         def solved() -> pa.RecordBatch:
             pairs = forest(held[1], None if all(held[2]) else held[2])
             ends = [[held[0][p[k]] for p in pairs] for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
         for b in batches:
             for g, c, body, q in zip(*(x.to_pylist() for x in b.columns)):
@@ -309,33 +305,33 @@ def _links(rows: DataFrame, width: int) -> DataFrame:
         if held[0]:
             yield solved()
 
-    dealt = rows.select("grp", "class", "body", "asked").repartition(F.col("grp")).sortWithinPartitions("grp", "class")
-    return dealt.mapInArrow(lean(run), "a binary, b binary")
+    dealt = rows.select("grp", "node", "body", "asked").repartition(F.col("grp")).sortWithinPartitions("grp", "node")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _large(members: DataFrame, shared: DataFrame, width: int, task_shingles: int, task_members: int) -> DataFrame:
-    """Links of clusters too large for one task; members has cluster, class, n, body and parts (tasks its cluster needs), shared the hashes (key) by class."""
-    members = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    first = members.groupBy("cluster").agg(F.min_by(F.struct("class", "body", "parts"), "class").alias("f"))
-    sent = first.select("cluster", F.col("f.class").alias("class"), F.col("f.body").alias("body"), F.explode(F.sequence(F.lit(0), (F.col("f.parts") - 1).cast("int"))).alias("block"))
-    own = members.select("cluster", "class", "body", "block").unionByName(sent).dropDuplicates(["cluster", "class", "block"])
-    links = settled(_links(own.select(F.xxhash64("cluster", "block").alias("grp"), "class", "body", F.lit(True).alias("asked")), width), "jaccard-blocks")
+    """Links of clusters too large for one task; members has cluster, node, n, body and parts (tasks its cluster needs), shared the hashes (key) by node."""
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    first = members.groupBy("cluster").agg(F.min_by(F.struct("node", "body", "parts"), "node").alias("f"))
+    sent = first.select("cluster", F.col("f.node").alias("node"), F.col("f.body").alias("body"), F.explode(F.sequence(F.lit(0), (F.col("f.parts") - 1).cast("int"))).alias("block"))
+    own = members.select("cluster", "node", "body", "block").unionByName(sent).dropDuplicates(["cluster", "node", "block"])
+    links = settled(_links(own.select(F.xxhash64("cluster", "block").alias("grp"), "node", "body", F.lit(True).alias("asked")), width), "jaccard-blocks")
     # members that their block doesn't connect with the first meet, hash by hash, those of comparable size
     roots = settled(components(links), "jaccard-roots")
-    heads = first.select("cluster", F.col("f.class").alias("head")).join(roots, F.col("head") == F.col("node")).select("cluster", F.col("root").alias("main"))
-    tied = members.select("cluster", "class", "n").join(roots, F.col("class") == F.col("node"), "left").join(heads, "cluster", "left")
-    tied = settled(tied.select("class", "n", F.coalesce(F.col("root") != F.col("main"), F.lit(True)).alias("apart")), "jaccard-tied")
+    heads = first.select("cluster", F.col("f.node").alias("head")).join(roots.withColumnRenamed("node", "_node"), F.col("head") == F.col("_node")).select("cluster", F.col("root").alias("main"))
+    tied = members.select("cluster", "node", "n").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").join(heads, "cluster", "left")
+    tied = settled(tied.select("node", "n", F.coalesce(F.col("root") != F.col("main"), F.lit(True)).alias("apart")), "jaccard-tied")
     size = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    rows = shared.join(tied, "class").withColumn("size", F.explode(F.array(size, size + 1))).withColumn("at", F.xxhash64("key", "size"))
-    groups = rows.groupBy("at").agg(F.count(F.lit(1)).alias("m"), F.count_if("apart").alias("a"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"))
+    rows = shared.join(tied, "node").withColumn("size", F.explode(F.array(size, size + 1))).withColumn("at", F.xxhash64("key", "size"))
+    groups = rows.groupBy("at").agg(F.count(F.lit(1)).alias("m"), F.count_if("apart").alias("a"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     groups = settled(groups.where("m > 1 AND a > 0").groupBy("m", "a", "s", "x", "y").agg(F.min("at").alias("at")).select("at", "m", "s"), "jaccard-groups")  # those of the same members once
-    met = join_groups(rows.select("at", "class", "apart"), "at", F.col("class"), groups, "m")
+    met = join_groups(rows.select("at", "node", "apart"), "at", F.col("node"), groups, "m")
     met = met.withColumn("tasks", F.greatest(F.ceil(F.col("m") / task_members), F.ceil(F.col("s") / task_shingles)).cast("int"))
-    every, part = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)), lambda k: F.pmod(F.xxhash64("class", F.lit(k)), F.col("tasks")).cast("int")
-    left = met.select("at", "class", part(0).alias("block"), every.alias("chunk"), F.lit(False).alias("asked"))
-    right = met.where("apart").select("at", "class", every.alias("block"), part(1).alias("chunk"), F.lit(True).alias("asked"))
-    again = left.unionByName(right).groupBy("at", "block", "chunk", "class").agg(F.max("asked").alias("asked")).join(members.select("class", "body"), "class")
-    return links.unionByName(_links(again.select(F.xxhash64("at", "block", "chunk").alias("grp"), "class", "body", "asked"), width))
+    every, part = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)), lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.col("tasks")).cast("int")
+    left = met.select("at", "node", part(0).alias("block"), every.alias("chunk"), F.lit(False).alias("asked"))
+    right = met.where("apart").select("at", "node", every.alias("block"), part(1).alias("chunk"), F.lit(True).alias("asked"))
+    again = left.unionByName(right).groupBy("at", "block", "chunk", "node").agg(F.max("asked").alias("asked")).join(members.select("node", "body"), "node")
+    return links.unionByName(_links(again.select(F.xxhash64("at", "block", "chunk").alias("grp"), "node", "body", "asked"), width))
 
 
 def _tied(docs: DataFrame, text: str, ident: str, width: int, task_shingles: int, task_members: int, held: int, common: int) -> DataFrame:
@@ -352,28 +348,31 @@ def _tied(docs: DataFrame, text: str, ident: str, width: int, task_shingles: int
     shared = dealt.where("key is not null").select("key", "class", "n", "df")
     shared = shared.withColumn("has", F.count(F.lit(1)).over(own)).where(f"has >= {_NEED}")
     shared = shared.withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), F.desc("key")))).where(f"place >= {_NEED}")
-    shared = settled(shared.select("key", "class").distinct(), "jaccard-shared")
-    hubs = shared.groupBy("key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = join_groups(shared, "key", F.col("class"), hubs).select(F.col("class").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
-    clusters = components(near).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    # a number for each class: the graph's nodes; hashes of 128 bits are not needed beyond this point
+    shared = shared.withColumn("at", F.monotonically_increasing_id()).withColumn("node", F.min("at").over(own))
+    shared = settled(shared.select("key", "node", F.when(F.col("at") == F.col("node"), F.col("class")).alias("class")), "jaccard-shared")
+    nodes = shared.where("class IS NOT NULL").select("class", "node")
+    hubs = settled(shared.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub"), "jaccard-hubs")
+    near = shared.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    clusters = components(near).select("node", F.col("root").alias("cluster"))
 
     # one text for each class of a cluster
-    reps = texts.where("n > 0").groupBy("class").agg(F.min("body_hash").alias("body_hash"), F.max("n").alias("n")).join(clusters, "class")
+    reps = texts.where("n > 0").groupBy("class").agg(F.min(F.struct("body_hash", "n")).alias("one")).join(nodes, "class").select("node", "one.*").join(clusters, "node")
     per = reps.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
     per = per.withColumn("parts", F.greatest(F.ceil(F.col("shingles") / task_shingles), F.ceil(F.col("members") / task_members)).cast("int"))
     reps = settled(reps.join(per.select("cluster", "parts"), "cluster"), "jaccard-reps")
-    bodies = docs.select(F.col(text).cast("binary").alias("body"), _body_hash(text).alias("body_hash"))
+    bodies = docs.select(F.col(text).cast("binary").alias("body"), text_hash(text).alias("body_hash"))
     bodies = bodies.where(in_bloom(reps, F.xxhash64("body_hash"), F.xxhash64("body_hash")))
     bodies = bodies.groupBy("body_hash").agg(F.first("body").alias("body"))
-    members = reps.join(bodies, "body_hash").select("cluster", "class", "n", "body", "parts")
-    links = _links(members.where("parts = 1").select(F.xxhash64("cluster").alias("grp"), "class", "body", F.lit(True).alias("asked")), width)
+    members = reps.join(bodies, "body_hash").select("cluster", "node", "n", "body", "parts")
+    links = _links(members.where("parts = 1").select(F.col("cluster").alias("grp"), "node", "body", F.lit(True).alias("asked")), width)
     if not reps.where("parts > 1").isEmpty():
         large = settled(members.where("parts > 1"), "jaccard-large")
         links = links.unionByName(_large(large, shared, width, task_shingles, task_members))
-    roots = components(links)
-    own = texts.join(roots, (F.col("class") == F.col("node")) & (F.col("n") > 0), "left")
-    own = settled(own.select("doc_id", "n", "body_hash", F.coalesce("root", "class").alias("tie")), "jaccard-ties")
-    for done in (dealt, shared, reps):
+    roots = components(links).withColumnRenamed("node", "_node").join(nodes, F.col("_node") == F.col("node")).select(F.col("class").alias("_class"), "root")
+    own = texts.join(roots, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left")
+    own = settled(own.select("doc_id", "n", "body_hash", F.coalesce(F.col("root").cast("string"), F.hex("class")).alias("tie")), "jaccard-ties")
+    for done in (dealt, shared, hubs, reps):
         discard(done)
     return own
 
@@ -394,14 +393,13 @@ def deduplicated(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
     Rows without shingles all stay. Only rows that may go are moved; columns of any name are kept.
     """
     own = _tied(docs, text, ident, WIDTH, TASK_SHINGLES, TASK_MEMBERS, _HELD, _COMMON)
-    name = lambda i, h: F.md5(F.concat_ws("/", F.coalesce(F.col(i).cast("string"), F.lit("-")), F.hex(h)).cast("binary"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body_hash")
     rows = own.where("n > 0").groupBy("tie", "doc_id", "body_hash").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("tie").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("of"))
     gone, may, key = free(docs, "gone", "may", "key")
-    fate = join_groups(rows, "tie", rank, first, "of").select(name("doc_id", F.col("body_hash")).alias(key), (rank != F.col("first")).alias(gone), "n")
+    fate = join_groups(rows, "tie", rank, first, "of").select(row_key("doc_id", F.col("body_hash")).alias(key), (rank != F.col("first")).alias(gone), "n")
     fate = settled(fate.where(F.col(gone) | (F.col("n") > 1)), "jaccard-fate")
-    keyed = docs.withColumn(key, name(ident, _body_hash(text)))
+    keyed = docs.withColumn(key, row_key(ident, text_hash(text)))
     marked = keyed.withColumn(may, in_bloom(fate, F.xxhash64(key), F.xxhash64(key)))
     several = fate.where(~F.col(gone)).select(key)
     some = marked.where(F.col(may)).join(fate.where(gone).select(key), key, "left_anti")
