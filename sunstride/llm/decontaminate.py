@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free, in_bloom, scratch, settled, spread
+from .common import free, in_bloom, row_key, scratch, settled, spread, text_hash
 from .labelled import lean, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
@@ -289,10 +289,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", iden
     return spread(docs.select(ident, text)).mapInArrow(lean(run), schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that contain a test item; only rows that may go are moved."""
-    gone, may = free(docs, "gone", "may")
-    leaks = settled(contaminated(docs, benchmark).select(F.col("doc_id").alias(gone)).distinct(), "leaks")
-    marked = docs.withColumn(may, F.coalesce(in_bloom(leaks, F.xxhash64(gone), F.xxhash64("doc_id")), F.lit(False)))
-    stay = marked.where(F.col(may)).join(leaks, F.col("doc_id") == F.col(gone), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that contain a test item; only rows that may go are moved. Other rows of the same identifier stay."""
+    key, gone, may = free(docs, "key", "gone", "may")
+    keyed = docs.withColumn(key, row_key(ident, text_hash(text)))
+    leaks = settled(contaminated(keyed, benchmark, text, key).select(F.col(key).alias(gone)).distinct(), "leaks")
+    marked = keyed.withColumn(may, in_bloom(leaks, F.xxhash64(gone), F.xxhash64(key)))
+    stay = marked.where(F.col(may)).join(leaks, F.col(key) == F.col(gone), "left_anti")
     return marked.where(~F.col(may)).unionByName(stay).select(*docs.columns)
