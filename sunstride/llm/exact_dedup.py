@@ -1,12 +1,13 @@
 """Exact deduplication by a stateful stream.
 
 A file stream feeds a keyed state on disk (RocksDB, no expiry): for each digest the largest identifier, the locator of
-its row (file and row number) and the number of rows. A later call with the same ``state`` reads only new files. Rows
+its row (a hash of the file's path, and the row number) and the number of rows. A later call with the same ``state`` reads only new files. Rows
 that hit a digest already held by another row are then compared byte for byte with the text at the kept locator; texts
 that differ under one digest are grouped by their bytes instead.
 
 Defined results: a null text counts as empty; a null identifier is below all others; of rows with equal text and equal
-identifier the one with the greatest locator stays, so exactly one row of a group does; an empty table gives an empty
+identifier the one with the greatest locator stays, so exactly one row of a group does; a very long text is held
+only by the tasks that compare its copies; an empty table gives an empty
 result; other columns of the input are not read.
 """
 
@@ -65,19 +66,19 @@ def exact_dedup(
     ``files`` is how many files one micro-batch takes; ``state`` is the stream's checkpoint folder (a new one by default).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    place = F.struct(F.col(ident).alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    place = F.struct(F.col(ident).alias("doc_id"), F.xxhash64(F.col("_metadata.file_path")).alias("at"), F.col("_metadata.row_index").alias("row_index"))
     held = settled(_held(spark, path, [digest(body).alias("digest"), place.alias("place")], state or scratch(spark, "dedup-state"), files), "dedup-held")
 
-    rows = spark.read.parquet(path).select(place.alias("place"), digest(body).alias("digest"), sha256(body).alias("text_sha256"), body.alias("body"))
+    rows = spark.read.parquet(path).select(place.alias("place"), digest(body).alias("digest"), sha256(body).alias("text_sha256"), body.alias("body"), F.col("_metadata.file_path").alias("file"))
     several = held.where("n > 1")
     # only texts whose digest several rows share are moved and compared
-    hits = join_groups(rows.where(in_bloom(several, F.xxhash64("digest"), F.xxhash64("digest"))), "digest", F.col("place"), several)
+    hits = join_groups(rows.drop("file").where(in_bloom(several, F.xxhash64("digest"), F.xxhash64("digest"))), "digest", F.col("place"), several)
     hits = hits.withColumn("part", F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / COPIES_A_TASK)).cast("int"))
     first = hits.where("place = keep").select(F.col("digest").alias("d"), F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / COPIES_A_TASK) - 1).cast("int"))).alias("p"))
     odd = hits.join(first, (F.col("digest") == F.col("d")) & (F.col("part") == F.col("p"))).where("body <> kept_body")
     odd = settled(odd.select("digest", "place", "body"), "dedup-odd")
 
-    narrow = rows.select("place", "digest", "text_sha256")
+    narrow = rows.select("place", "digest", "text_sha256", "file")  # the path is read only where the caller selects it
     out = join_groups(narrow, "digest", F.col("place"), held)
     if not odd.isEmpty():  # different bytes under one digest: all rows of that digest are grouped by their bytes
         mixed = odd.select("digest").distinct()
@@ -86,5 +87,5 @@ def exact_dedup(
         out = out.join(mixed, "digest", "left_anti").unionByName(again.join(groups, ["digest", "body"]).drop("body"))
     return out.select(
         F.col("place.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), (F.col("place") == F.col("keep")).alias("kept"),
-        "text_sha256", F.col("place.file").alias("file"), F.col("place.row_index").alias("row_index"),
+        "text_sha256", "file", F.col("place.row_index").alias("row_index"),
     )

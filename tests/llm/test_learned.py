@@ -164,6 +164,43 @@ def test_mixture_proportions():
     assert share[:, 0] == pytest.approx([0.6, 0.4], abs=0.05) and share[:, 1].tolist() == [1.0, 0.0] and share[:, 2].tolist() == [0.0, 0.0]
 
 
+def test_inference_equals_plain_loops():
+    """Expectation-maximisation word by word, set by set, for each text on its own."""
+    r = np.random.default_rng(6)
+    n = [1, 4, 30, 60]
+    like, often = r.uniform(0.01, 1, (3, sum(n))) ** 2, r.integers(1, 4, sum(n)).astype(float)
+    got = language.infer(like, np.array(n), often)
+
+    def em(words, allowed, rounds):
+        pi = [float(a) / sum(allowed) for a in allowed]
+        total = sum(k for _, k in words)
+        for _ in range(rounds):
+            new = [0.0] * 3
+            for w, k in words:
+                z = sum(p * x for p, x in zip(pi, w))
+                for j in range(3):
+                    new[j] += k * pi[j] * w[j] / z
+            pi = [x / total for x in new]
+        return pi, sum(k * np.log(sum(p * x for p, x in zip(pi, w))) for w, k in words)
+
+    at = 0
+    for t, m in enumerate(n):
+        words = [(like[:, i].tolist(), often[i]) for i in range(at, at + m)]
+        total = sum(k for _, k in words)
+        pi, _ = em(words, [1, 1, 1], 8)
+        order = sorted(range(3), key=lambda j: (-pi[j], j))
+        best, fit = em(words, [j == order[0] for j in range(3)], 1)
+        for size in (2, 3):
+            if pi[order[size - 1]] * total <= 0.5:
+                break
+            some, ll = em(words, [j in order[:size] for j in range(3)], 16)
+            if ll - 0.5 * np.log(total + 1) <= fit:
+                break
+            best, fit = some, ll - 0.5 * np.log(total + 1)
+        assert got[:, t] == pytest.approx(best, abs=1e-9)
+        at += m
+
+
 def test_many_languages_without_a_cap(spark, monkeypatch):
     r, letters = random.Random(8), [chr(0x4E00 + k) for k in range(4000)]
     own = {f"l{k:04d}": letters[3 * k : 3 * k + 3] for k in range(1200)}
