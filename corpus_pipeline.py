@@ -2,7 +2,9 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame that is written as Parquet and reread as the next one's docs.
 All but the last return the columns of ``documents``. Null and empty texts pass the filters (they are neither toxic, nor
-copies, nor leaks), take no share of the mix, and so end there; an empty table stays empty through all stages.
+copies, nor leaks), take no share of the mix, and so end there; an empty table stays empty through all stages. A row that
+repeats in full is kept once by the second stage; rows of one doc_id with different texts are judged each. Extra columns,
+whatever their names, are carried up to the mix. Very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
+    """Of each group of near duplicates one row stays, the least doc_id's."""
     return jaccard.deduplicated(docs)
 
 
