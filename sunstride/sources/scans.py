@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
+import zipfile
 from collections.abc import Sequence
 from functools import reduce
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -49,14 +52,20 @@ def load_zones(combined: DataFrame, zones: Sequence[int], measures: Sequence[str
     return {z: every.where(F.col("ZONE") == z) for z in zones}, every
 
 
-def harmonise(df: DataFrame, headers=HEADERS, measures: Sequence[str] = STATION) -> DataFrame:
-    """Renames by what headers contain, in order, and adds absent measures as NULL."""
+def _renamed(columns: Sequence[str], headers=HEADERS) -> dict[str, str]:
+    """New names of those columns that a header fits; the first column that fits a name has it."""
     names: dict[str, str] = {}
-    for column in df.columns:
+    for column in columns:
         low = column.lower().strip()
         found = next((name for part, name in headers if (low.startswith(part[1:]) if part[0] == "^" else part in low)), None)
         if found and found not in names.values():
             names[column] = found
+    return names
+
+
+def harmonise(df: DataFrame, headers=HEADERS, measures: Sequence[str] = STATION) -> DataFrame:
+    """Renames by what headers contain, in order, and adds absent measures as NULL."""
+    names = _renamed(df.columns, headers)
     out = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     return out.withColumns({m: F.lit(None).cast("string") for m in measures if m not in out.columns})
 
@@ -64,32 +73,86 @@ def harmonise(df: DataFrame, headers=HEADERS, measures: Sequence[str] = STATION)
 _STATION_FILE = re.compile(r"site (?P<site>\d+).*?capacity-(?P<capacity>\d+)MW|capacity-(?P<capacity2>\d+)MW.*?site (?P<site2>\d+)")
 
 
-def stations(spark: SparkSession, paths: Sequence[str], sites: Sequence[int] | None = None) -> DataFrame:
-    """CSV exports of station workbooks; site and capacity come from the file name, and files of other sites aren't opened.
-
-    Files with the same header are one scan, so the plan grows with the different headers and not with the files.
-    """
+def _wanted(paths: Sequence[str], sites: Sequence[int] | None) -> dict[str, tuple[int, float]]:
+    """Site and capacity by path, of the wanted sites."""
     about = {}
-    for p in paths:
+    for p in sorted(paths):
         if not (found := _STATION_FILE.search(os.path.basename(p))):
             raise ValueError(f"no site or capacity in {os.path.basename(p)}")
         about[p] = (int(found["site"] or found["site2"]), float(found["capacity"] or found["capacity2"]))
-    wanted = sorted(p for p, (site, _) in about.items() if sites is None or site in sites)
-    if not wanted:
+    about = {p: x for p, x in about.items() if sites is None or x[0] in sites}
+    if not about:
         raise ValueError("no station file")
+    return about
+
+
+def _of_files(rows: DataFrame, about: dict[str, tuple[int, float]]) -> DataFrame:
+    """Rows with what their file's (``_file``) name says, without those that have no time."""
+    files = rows.sparkSession.createDataFrame([(os.path.basename(p), *x, k) for k, (p, x) in enumerate(about.items())], "_name string, site int, capacity double, file_order int")
+    out = rows.join(F.broadcast(files), F.col("_file") == F.col("_name"))  # a row a file
+    return out.select("ts", *STATION, "site", "capacity", "file_order", "row_order").na.drop(subset=["ts"])
+
+
+def stations(spark: SparkSession, paths: Sequence[str], sites: Sequence[int] | None = None) -> DataFrame:
+    """CSV exports of station workbooks; site and capacity come from the file name, and files of other sites aren't opened.
+
+    Files with the same header are one scan, so the plan grows with the different headers and not with the files.
+    """
+    wanted = _wanted(paths, sites)
     headers: dict[tuple[str, ...], list[str]] = {}
     for p in wanted:
         headers.setdefault(tuple(spark.read.csv(p, header=True).columns), []).append(p)
-    name = lambda path: F.element_at(F.split(path, "/"), -1)
-    files = spark.createDataFrame([(os.path.basename(p), *about[p], k) for k, p in enumerate(wanted)], "_name string, site int, capacity double, file_order int")
     typed = {m: lenient_double(m) for m in STATION} | {"ts": F.try_to_timestamp(F.col("ts")).cast("timestamp_ntz")}
     parts = []
-    for columns, group in headers.items():
-        raw = spark.read.csv(group, header=True).select("*", F.url_decode(name(F.col("_metadata.file_path"))).alias("_file"), F.monotonically_increasing_id().alias("_row"))
-        one = harmonise(raw, (*HEADERS, ("^_file", "_file"), ("^_row", "row_order")))
-        parts.append(one.withColumns(typed).select("ts", *STATION, "_file", "row_order"))
-    rows = reduce(DataFrame.unionByName, parts).join(F.broadcast(files), F.col("_file") == F.col("_name"))  # a row a file
-    return rows.select("ts", *STATION, "site", "capacity", "file_order", "row_order").na.drop(subset=["ts"])
+    for group in headers.values():
+        raw = spark.read.csv(group, header=True).select("*", F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("_file"), F.monotonically_increasing_id().alias("_row"))
+        parts.append(harmonise(raw, (*HEADERS, ("^_file", "_file"), ("^_row", "row_order"))).withColumns(typed).select("ts", *STATION, "_file", "row_order"))
+    return _of_files(reduce(DataFrame.unionByName, parts), wanted)
+
+
+def sheet_rows(raw: bytes) -> list[dict[str, str]]:
+    """The rows of a workbook's first sheet as texts by column letter; an XLSX file is a ZIP of XML parts."""
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in item.iter(f"{ns}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))
+        rows = []
+        for row in ElementTree.fromstring(z.read(first)).iter(f"{ns}row"):
+            cells = {}
+            for c in row.iter(f"{ns}c"):
+                value = c.find(f"{ns}v")
+                text = "".join(t.text or "" for t in c.iter(f"{ns}t")) if c.get("t") == "inlineStr" else None if value is None else value.text
+                if text is not None:
+                    cells[re.sub(r"\d", "", c.get("r"))] = shared[int(text)] if c.get("t") == "s" else text
+            rows.append(cells)
+    return rows
+
+
+def workbooks(spark: SparkSession, paths: Sequence[str], sites: Sequence[int] | None = None) -> DataFrame:
+    """Station workbooks (XLSX) themselves, with the columns of ``stations``; a task holds one workbook at a time. Times may be texts or day numbers since 1899-12-30."""
+    wanted = _wanted(paths, sites)
+    columns = ["ts", *STATION]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path, raw in zip(*(c.to_pylist() for c in b.columns)):
+                head, *rows = sheet_rows(raw)
+                place = {title: letter for letter, title in reversed(head.items())}
+                letters = {name: place[title] for title, name in _renamed(list(head.values())).items()}
+                out = [[r.get(letters.get(c, "")) for r in rows] for c in columns]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in out), pa.array([path.rsplit("/", 1)[-1]] * n), pa.array(range(n), pa.int64())], [*columns, "_file", "row_order"])
+
+    raw = spark.read.format("binaryFile").load(list(wanted)).select(F.url_decode("path"), "content")
+    rows = raw.mapInArrow(run, ", ".join(f"{c} string" for c in (*columns, "_file")) + ", row_order long")
+    number = F.expr("try_cast(ts AS DOUBLE)")
+    ts = F.when(number.isNotNull(), F.expr("timestamp_ntz'1899-12-30' + make_dt_interval(0, 0, 0, round(try_cast(ts AS DOUBLE) * 86400))")).otherwise(F.try_to_timestamp(F.col("ts")).cast("timestamp_ntz"))
+    return _of_files(rows.withColumns({m: lenient_double(m) for m in STATION} | {"ts": ts}), wanted)
 
 
 def shards(spark: SparkSession, path: str, group: str, columns: Sequence[str] = ("time", "pv")) -> DataFrame:

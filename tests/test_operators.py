@@ -2,6 +2,7 @@
 
 import json
 import time
+import zipfile
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -384,6 +385,17 @@ def test_scans(spark, tmp_path):
     assert len(r) == 1 and (r[0]["site"], r[0]["capacity"], r[0]["ghi"], r[0]["temp"], r[0]["dni"], r[0]["power"]) == (2, 50.0, 2.0, None, None, 3.0)
     with pytest.raises(ValueError):
         scans.stations(spark, [str(p) for p in tmp_path.glob("*.csv")], sites=[9])
+    (tmp_path / "b site 3 capacity-30MW.csv").write_text("Time,Power\n2019-01-01 00:15:00,7\n2019-01-01 00:30:00,8\n")
+    both = scans.stations(spark, [str(p) for p in tmp_path.glob("*.csv")]).orderBy("file_order", "row_order").collect()
+    assert [(r["site"], r["capacity"], r["file_order"], r["power"]) for r in both] == [(2, 50.0, 0, 3.0), (3, 30.0, 1, 7.0), (3, 30.0, 1, 8.0)]
+    cell = lambda at, v: f'<c r="{at}" t="s"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{at}"><v>{v}</v></c>'
+    sheet = "".join(f'<row r="{n}">' + "".join(cell(f"{c}{n}", v) for c, v in row.items()) + "</row>" for n, row in enumerate(({"A": 0, "B": 1, "C": 2}, {"A": "43466.010416666664", "B": "1.5", "C": "4"}, {"A": 3, "C": "5"}, {"C": "6"}), 1))
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "c site 4 capacity-20MW.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Time</t></si><si><t>Air tem</t><t>perature</t></si><si><t>Power (MW)</t></si><si><t>2019-01-01 00:30:00</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+    found = scans.workbooks(spark, [str(tmp_path / "c site 4 capacity-20MW.xlsx")]).orderBy("row_order").collect()
+    assert [(r["ts"], r["temp"], r["power"], r["site"], r["ghi"]) for r in found] == [(datetime(2019, 1, 1, 0, 15), 1.5, 4.0, 4, None), (datetime(2019, 1, 1, 0, 30), None, 5.0, 4, None)]
     (tmp_path / "d.txt").write_text("ZONEID,TIMESTAMP,POWER\n1,20130101 1:00,0.5\n")
     assert scans.day_ahead(spark, str(tmp_path / "d.txt")).first()["ts"] == datetime(2013, 1, 1, 1)
     (tmp_path / "n.ipynb").write_text(json.dumps({"cells": [{"outputs": [{"text": ["XGB RMSE=0.10 MAE=0.05\n", "other\n"]}]}]}))
