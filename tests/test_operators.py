@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from sunstride import cli
 from sunstride.functions import capacity_factor, clear_sky_index, clip, clip_low, in_range, local_time, null_if_nan, one_hot, split_by_cuts, valid_power, zscore
-from sunstride.operators import baselines, chain, forecast_windows, grid, impute, loader, metrics, models, networks, quality, scale, sequence, splits, stats
+from sunstride.operators import baselines, chain, forecast_windows, grid, impute, loader, metrics, models, networks, quality, scale, sequence, splits, stats, stored
 from sunstride.sources import config, scans, sinks
 
 T0 = datetime(2017, 6, 1, 7)
@@ -497,6 +497,44 @@ def test_streams(spark, tmp_path):
     assert [r["ramp"] for r in run(stream_ramps(stream, "event_type", "ts", "value"), "append", "p").orderBy("us").collect()] == [None] + [1.0] * 11
 
 
+def test_stored_networks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    n, steps, width, heads = 2, 5, 6, 2
+    pairs = {"query": (6, 6), "key": (6, 6), "value": (6, 6), "out": (6, 6), "net1": (6, 8), "net2": (8, 6)}
+    layer = {f"{k}.w": r.normal(size=v) for k, v in pairs.items()} | {f"{k}.b": r.normal(size=v[1]) for k, v in pairs.items()}
+    layer |= {f"norm{k}.{x}": r.normal(size=6) for k in (1, 2) for x in "wb"}
+    x = r.normal(size=(n, steps, width))
+    # attention step by step
+    q, k, v = (x @ layer[f"{c}.w"] + layer[f"{c}.b"] for c in ("query", "key", "value"))
+    want = np.zeros_like(x)
+    for b in range(n):
+        for h in range(heads):
+            at = slice(3 * h, 3 * h + 3)
+            for i in range(steps):
+                e = np.exp([q[b, i, at] @ k[b, j, at] / 3**0.5 for j in range(steps)])
+                want[b, i, at] = sum(e[j] / e.sum() * v[b, j, at] for j in range(steps))
+    assert stored.attention(x, layer, heads) == pytest.approx(want @ layer["out.w"] + layer["out.b"])
+    z = stored.normed(x, np.ones(6), np.zeros(6))
+    assert z.mean(axis=-1) == pytest.approx(np.zeros((n, steps)), abs=1e-9) and z.std(axis=-1) == pytest.approx(np.ones((n, steps)), abs=1e-3)
+    ends = {"in.w": r.normal(size=(1, 6)), "in.b": r.normal(size=6), "head.w": r.normal(size=(6, 3)), "head.b": r.normal(size=3)}
+    rows = r.normal(size=(4, 7))
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)] + [(9, None)], "k int, x array<double>").repartition(2)
+    got = {r["k"]: r["y_pred"] for r in stored.applied(d, [("x", (7, 1))], lambda a: stored.sequence_forecast(a, ends, [layer], heads)).collect()}
+    assert got.pop(9) is None and np.array([got[k] for k in range(4)]) == pytest.approx(stored.sequence_forecast(rows[:, :, None], ends, [layer], heads))
+    ends = {"in.w": r.normal(size=(3, 6)), "in.b": r.normal(size=6), "positions": r.normal(size=(3, 6)), "head.w": np.zeros((18, 2)), "head.b": np.zeros(2), "gain": 2.0, "shift": 0.0}
+    assert stored.patch_forecast(rows, ends, [layer], heads, 3, 2) == pytest.approx(np.repeat(rows.mean(axis=1)[:, None], 2, axis=1))  # nothing learned gives the mean back
+    images, w, b = r.normal(size=(2, 2, 4, 4)), r.normal(size=(3, 2, 3, 3)), r.normal(size=3)
+    padded = np.pad(images, ((0, 0), (0, 0), (1, 1), (1, 1)))
+    plain = np.array([[[[(padded[i, :, y : y + 3, c : c + 3] * w[o]).sum() + b[o] for c in range(4)] for y in range(4)] for o in range(3)] for i in range(2)])
+    assert stored.convolved(images, w, b) == pytest.approx(plain)
+    block = {"w": w, "b": b, "mean": np.zeros(3), "var": np.ones(3) - 1e-5, "gain": np.ones(3), "shift": np.zeros(3)}
+    top = np.maximum(plain, 0).reshape(2, 3, 2, 2, 2, 2).max(axis=(3, 5)).reshape(2, -1)
+    dense = [(r.normal(size=(12 + 1, 1)), np.zeros(1))]
+    assert stored.image_forecast(images, np.ones((2, 1)), [block], dense) == pytest.approx(np.concatenate([top, np.ones((2, 1))], axis=1) @ dense[0][0])
+
+
 def test_core_does_not_import_the_training_data_operators():
     import os
     import subprocess
