@@ -138,7 +138,7 @@ def _placed(own: DataFrame, weights: tuple[int, ...], share: Fraction, most: int
             runs.append((no, k, whole, rest, blocks, *permutation(f"{seed}/{found[no][0] or ''}/{k}", blocks)))
     runs_df = spark.createDataFrame(runs, "_r_no int, _r_shard int, _mix_whole long, _mix_rest long, _mix_all long, _mix_stride long, _mix_start long")
 
-    rows = dealt(own).join(_small(runs_df, len(runs)), (F.col("_mix_no") == F.col("_r_no")) & (F.col("_mix_shard") == F.col("_r_shard")))
+    rows = dealt(own if last else narrow).join(_small(runs_df, len(runs)), (F.col("_mix_no") == F.col("_r_no")) & (F.col("_mix_shard") == F.col("_r_shard")))
     order = Window.partitionBy("_mix_no", "_mix_shard").orderBy(_seeded(seed + 1, F.col("_mix_id")), "_mix_id", "_mix_size", *last)
     rows = rows.withColumn("_mix_at", F.sum("_mix_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_mix_size"))
     at, end = F.col("_mix_at"), F.col("_mix_at") + F.col("_mix_size")
