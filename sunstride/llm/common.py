@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Plans of less than this a task are dealt over all tasks.
@@ -117,13 +117,13 @@ def in_bloom(keys: DataFrame, key: Column, probe: Column) -> Column:
     filled[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
     sent = keys.sparkSession.sparkContext.broadcast(filled)
 
-    @F.pandas_udf(T.BooleanType())
-    def seen(h: pd.Series) -> pd.Series:
-        table, v = sent.value, h.to_numpy(dtype=np.int64, na_value=0).view(np.uint64)
+    @F.arrow_udf(T.BooleanType())
+    def seen(h: pa.Array) -> pa.Array:
+        table, v = sent.value, h.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         found = np.ones(len(v), dtype=bool)
         for at in (v & np.uint64(bits - 1), (v >> np.uint64(32)) & np.uint64(bits - 1)):
             found &= (table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
-        return pd.Series(found)
+        return pa.array(found)
 
     return seen(probe)
 

@@ -34,7 +34,7 @@ from .common import free, in_bloom, row_key, scratch, settled, spread, text_hash
 from .labelled import lean, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
-_MEMO = 200_000
+_MEMO = 100_000
 _CELLS = 2_000_000  # sums (passages times blocks) that are held at once
 _HELD, _CHUNK = 4, 32 << 20  # parts that a task keeps; characters of texts that it holds where there are more parts
 _END = re.compile(r"(?<=[.!?])\s+")

@@ -39,7 +39,7 @@ from .labelled import lean, small_batches
 #: Words of a shingle.
 WIDTH = 5
 _FLUSH = 1 << 19  # hashes that a task packs at once
-_MEMO = 200_000
+_MEMO = 100_000
 #: Shingles and members of a cluster that one task takes.
 TASK_SHINGLES, TASK_MEMBERS = 3_000_000, 6000
 #: Bytes of text whose hashes make a part, parts at most (above 12.8 TB they get larger), and parts that are tasks of their own.

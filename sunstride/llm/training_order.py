@@ -236,11 +236,9 @@ def materialised(
     with store.open_output_stream(f"{base}/order.json", compression=None) as f:
         f.write(json.dumps({"sequences": n, "length": length, "stride": stride, "per_shard": per_shard, "key": key, "end": END}).encode())
 
-    @F.pandas_udf("long")
-    def slot(number):
-        import pandas as pd
-
-        return pd.Series(feistel.slot(number.to_numpy(np.uint64)))
+    @F.arrow_udf("long")
+    def slot(number: pa.Array) -> pa.Array:
+        return pa.array(feistel.slot(number.to_numpy(zero_copy_only=False).astype(np.uint64)))
 
     where = numbered.where("n_tokens is not null").select(F.col("doc_id").alias(ident), "n_tokens", "sequence", "at", slot("sequence").alias("slot"))
     where = where.withColumns({"shard": F.floor(F.col("slot") / per_shard).cast("int"), "byte_offset": F.col("slot") % per_shard * stride + F.col("at") * 2})
