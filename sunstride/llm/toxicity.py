@@ -4,7 +4,8 @@ Confirmed toxic texts are the positives; rows drawn from all training rows, what
 is the vector of its different words' root counts over the root of its length, and a word adds its value to the buckets of
 its bare form and of its beginnings (so inflected forms meet), among 2**20. Every bucket enters the learner at the scale of its log
 ratio between positives and unlabelled, shrunk by two standard errors and by ``shrink`` (else a language that positives
-favour, or one toxic text with many copies, would speak through thousands of buckets). Scores that folds give each other
+favour would speak through thousands of buckets); rows of a sample whose least or greatest shingle hash is the same are
+near copies and count once. Scores that folds give each other
 estimate the class prior, and the slope and the bias at which training begins; numpy then minimises
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  over the weights of all buckets, by Adam.
 
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settled
+from .jaccard import Shingler
 from .labelled import draw, lean, remainder, scored, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
-_CACHE, _BUCKETS, _FOLDS = 200_000, 1 << 20, 3
+_CACHE, _BUCKETS, _FOLDS = 60_000, 1 << 20, 3
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -58,18 +60,30 @@ def vector(text: str | None, features: _Features) -> tuple[np.ndarray, np.ndarra
 
 
 def _vectors(texts: DataFrame, ident: str) -> DataFrame:
-    """(positive, fold, mark, bucket array, value array) of each row of text and positive; mark only orders the rows."""
+    """(positive, fold, mark, low, high, bucket array, value array) of each row of text and positive; mark orders the rows, low and high are its least and greatest shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _Features()
+        features, shingles = _Features(), Shingler()
         for b in batches:
-            found = [vector(t, features) for t in b.column(0).to_pylist()]
+            texts = b.column(0).to_pylist()
+            found = [vector(t, features) for t in texts]
             lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *lists], ["positive", "fold", "mark", "bucket", "value"])
+            hashes = [shingles((t or "").encode()).view(np.int64) for t in texts]
+            ends = [pa.array([int(h[k]) if len(h) else 0 for h in hashes], pa.int64()) for k in (0, -1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *ends, *lists], ["positive", "fold", "mark", "low", "high", "bucket", "value"])
 
     mark = F.xxhash64(F.lit(9), ident)
     rows = texts.select("text", "positive", F.pmod(mark, F.lit(_FOLDS)).cast("int"), mark)
-    return rows.mapInArrow(lean(run), "positive int, fold int, mark long, bucket array<int>, value array<float>")
+    return rows.mapInArrow(lean(run), "positive int, fold int, mark long, low long, high long, bucket array<int>, value array<float>")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` of a sample without near copies of others: of equal ``low``, then of equal ``high``, the least mark stays. The sample is bounded, and so is its list of marks."""
+    found = rows.select("positive", "low", "high", "mark").toArrow().to_pandas().sort_values("mark")
+    for end in ("low", "high"):
+        found = found.drop_duplicates(["positive", end])
+    kept = rows.sparkSession.createDataFrame(found[["positive", "mark"]], "_positive int, _mark long")
+    return rows.join(F.broadcast(kept), (F.col("positive") == F.col("_positive")) & (F.col("mark") == F.col("_mark"))).select("positive", "fold", "mark", "bucket", "value")
 
 
 def _ratio(p: Column, u: Column, n_p: int, n_u: int, shrink: float) -> Column:
@@ -166,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", i
     own = docs.select(ident, F.col(text).alias("text")).where(learn)
     known = draw(own, labels.where((F.col(label) == 1) & learn), positives, None, ident).select(ident, "text", F.lit(1).alias("positive"))
     other = draw(own, own, unlabelled, None, ident, seed=6).select(ident, "text", F.lit(0).alias("positive"))
-    rows = settled(_vectors(known.unionByName(other), ident), "toxic-vectors")
+    rows = _once(settled(_vectors(known.unionByName(other), ident), "toxic-vectors"))
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("positive", "fold").agg(F.count(F.lit(1))).collect()}
     n = [[sizes.get((y, k), 0) for k in range(_FOLDS)] for y in (0, 1)]
     if any(min(x) == 0 for x in n):  # a fold without either kind
