@@ -2,10 +2,10 @@
 
 from .scalar import (
     capacity_factor, clip, clip_low, clear_sky_index, cyclic, errors, exact_mean, flag, in_range, is_junk, lenient_double, lenient_timestamp, local_time, minute_of_day,
-    null_if_nan, one_hot, r6, r8, split_by_cuts, valid_power, zoned_minute, zscore,
+    null_if_nan, one_hot, r6, r8, rounded, split_by_cuts, valid_power, zoned_minute, zscore,
 )
 
 __all__ = [
     "capacity_factor", "clip", "clip_low", "clear_sky_index", "cyclic", "errors", "exact_mean", "flag", "in_range", "is_junk", "lenient_double", "lenient_timestamp", "local_time",
-    "minute_of_day", "null_if_nan", "one_hot", "r6", "r8", "split_by_cuts", "valid_power", "zoned_minute", "zscore",
+    "minute_of_day", "null_if_nan", "one_hot", "r6", "r8", "rounded", "split_by_cuts", "valid_power", "zoned_minute", "zscore",
 ]

@@ -19,6 +19,12 @@ def r8(x: Column | str) -> Column:
     return F.round(_c(x), 8)
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """Half away from zero in doubles, as SQL engines do it, and a zero keeps the sign of what it was. Spark's own round goes through decimals, which have no negative zero."""
+    d, unit = _c(x).cast("double"), 10.0**places
+    return F.when(F.abs(d) < 1e300, F.signum(d) * F.round(F.abs(d) * unit) / unit).otherwise(d)  # NaN is above all numbers
+
+
 def exact_mean(x: Column | str) -> Column:
     """Aggregate: the mean as a sum of decimals with twelve digits after the point, so the order of addition doesn't show."""
     return F.sum(_c(x).cast("decimal(38,12)")).cast("double") / F.count(_c(x))

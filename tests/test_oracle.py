@@ -47,6 +47,28 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(df.columns, got) == rows(names, want.fetchall())
 
 
+def by_vector(spark, folder, name, vectors):
+    """The query's and its SQL's values for each vector, as text: that tells a negative zero from zero."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))}), f"{folder}/embeddings.parquet")
+    df = registry.QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    return sorted(map(str, map(tuple, df.collect()))), sorted(map(str, con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.SQL[name]})").fetchall()))
+
+
+#: 0, -0, what rounds to either, ties and large values.
+ZEROS = [0.0, -0.0, 4e-7, -4e-7, 5e-7, -5e-7, 6e-7, -6e-7, 0.0078125, -0.0078125, -0.1, 1e30, -1e30, 3.0, -3.0, 1e-30]
+
+
+def test_patches_keep_the_sign_of_zero(spark, tmp_path):
+    got, want = by_vector(spark, tmp_path, "q_patchify", [ZEROS * 4, [-v for v in ZEROS] * 4, [float("nan"), float("-inf"), None] + ZEROS, [], None])
+    assert got == want and "-0.0" in want[0]
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
