@@ -113,18 +113,21 @@ def flatten(windows: DataFrame, keep: Sequence[str], y_true: str = "y", y_pred:
 
 
 def array_mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(x)
+    """Of the values that are there; NULL if there are none."""
+    there = F.array_compact(x)
+    return F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, v: a + v.cast("double")), F.size(there))
 
 
-def array_var(x: Column) -> Column:
-    m = array_mean(x)
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + (v.cast("double") - m) * (v.cast("double") - m)) / F.size(x)
+def array_var(x: Column, mean: Column) -> Column:
+    return array_mean(F.transform(x, lambda v: (v.cast("double") - mean) * (v.cast("double") - mean)))
 
 
 def revin(df: DataFrame, x: str, eps: float = 1e-5, gain: float = 1.0, shift: float = 0.0) -> DataFrame:
     """Each window by its own mean and deviation (columns revin_mean, revin_std and ``x``_norm), then by the learned gain and shift of its channel."""
-    out = df.withColumns({"revin_mean": array_mean(F.col(x)), "revin_std": F.sqrt(array_var(F.col(x)) + eps)})
-    return out.withColumn(f"{x}_norm", F.transform(x, lambda v: (v.cast("double") - F.col("revin_mean")) / F.col("revin_std") * gain + shift))
+    out = df.withColumn("revin_mean", array_mean(F.col(x)))
+    out = out.withColumn("revin_std", F.sqrt(array_var(F.col(x), F.col("revin_mean")) + eps))
+    own = lambda v: (v.cast("double") - F.col("revin_mean")) / F.col("revin_std") * gain
+    return out.withColumn(f"{x}_norm", F.transform(x, lambda v: own(v) + shift if shift else own(v)))  # -0.0 + 0.0 is 0.0
 
 
 def revin_inverse(x: Column | str, gain: float = 1.0, shift: float = 0.0) -> Column:

@@ -69,6 +69,17 @@ def test_patches_keep_the_sign_of_zero(spark, tmp_path):
     assert got == want and "-0.0" in want[0]
 
 
+def test_normalised_windows_keep_the_sign_of_zero(spark, tmp_path):
+    low = [1.0, -1.0, -2e-6, 2e-6] * 16  # values just below and above the mean
+    got, want = by_vector(spark, tmp_path, "q_revin", [low, [-1e-7, -2e-7] * 32, [-0.0] * 64, [float(k) for k in range(64)], [1.0, float("nan")], [1.0, float("inf")]])
+    assert got == want and "-0.0" in want[0]
+
+
+def test_normalised_windows_that_miss_values(spark, tmp_path):
+    got, want = by_vector(spark, tmp_path, "q_revin", [[1.0, None, 2.0, 4.0], [None, None], [], None])
+    assert got == want
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
