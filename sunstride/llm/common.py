@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Plans of less than this a task are dealt over all tasks.
 _TASK_BYTES = 4 << 20
@@ -19,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's ``rows``, handed over as Arrow: a plain list would be unpickled by Python workers of a second kind, which then stay in every executor."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    fields = T.StructType.fromDDL(schema)
+    columns = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, fields.names), fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``. Where it is unset, a new local one, and only in local mode: executors elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -22,7 +22,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, free, settled, word_count
+from .common import WORD, free, local_table, settled, word_count
 
 #: Sources that the driver apportions at most (a row each); plans of up to BROADCAST_ROWS rows are broadcast.
 MAX_SOURCES = 200_000
@@ -117,7 +117,8 @@ def _placed(own: DataFrame, weights: tuple[int, ...], share: Fraction, most: int
     goal = targets(sizes, weights, share, most)
     quota = sainte_lague(goal, int(sum(goal) / block + Fraction(1, 2)))
     shard = max(shard, sum(sizes) // MAX_SHARDS)
-    plan = spark.createDataFrame(
+    plan = local_table(
+        spark,
         [(i, r[0], r[1], float(g), max(1, -(-r[1] // shard))) for i, (r, g) in enumerate(zip(found, goal))],
         "_mix_no int, _mix_name string, _mix_source_size long, _mix_target double, _mix_shards int",
     )
@@ -136,7 +137,7 @@ def _placed(own: DataFrame, weights: tuple[int, ...], share: Fraction, most: int
             blocks = max(1, -(-n // block))
             whole, rest = divmod(min(q, most * blocks), blocks)
             runs.append((no, k, whole, rest, blocks, *permutation(f"{seed}/{found[no][0] or ''}/{k}", blocks)))
-    runs_df = spark.createDataFrame(runs, "_r_no int, _r_shard int, _mix_whole long, _mix_rest long, _mix_all long, _mix_stride long, _mix_start long")
+    runs_df = local_table(spark, runs, "_r_no int, _r_shard int, _mix_whole long, _mix_rest long, _mix_all long, _mix_stride long, _mix_start long")
 
     rows = dealt(own if last else narrow).join(_small(runs_df, len(runs)), (F.col("_mix_no") == F.col("_r_no")) & (F.col("_mix_shard") == F.col("_r_shard")))
     order = Window.partitionBy("_mix_no", "_mix_shard").orderBy(_seeded(seed + 1, F.col("_mix_id")), "_mix_id", "_mix_size", *last)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settled
+from .common import local_table, settled
 from .jaccard import Shingler
 from .labelled import draw, lean, remainder, scored, small_batches
 
@@ -82,7 +82,7 @@ def _once(rows: DataFrame) -> DataFrame:
     found = rows.select("positive", "low", "high", "mark").toArrow().to_pandas().sort_values("mark")
     for end in ("low", "high"):
         found = found.drop_duplicates(["positive", end])
-    kept = rows.sparkSession.createDataFrame(found[["positive", "mark"]], "_positive int, _mark long")
+    kept = local_table(rows.sparkSession, list(zip(found["positive"].tolist(), found["mark"].tolist())), "_positive int, _mark long")
     return rows.join(F.broadcast(kept), (F.col("positive") == F.col("_positive")) & (F.col("mark") == F.col("_mark"))).select("positive", "fold", "mark", "bucket", "value")
 
 

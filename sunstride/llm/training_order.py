@@ -31,7 +31,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch, settled
+from .common import local_table, scratch, settled
 from .labelled import lean, small_batches
 
 #: Where the vocabulary's rank file lies on the driver, and the pattern that belongs to it.
@@ -227,7 +227,7 @@ def materialised(
     for task, k in counts:
         first.append((task, n))
         n += k
-    offsets = spark.createDataFrame(first, "_task int, _first long")  # a row for each scan task
+    offsets = local_table(spark, first, "_task int, _first long")  # a row for each scan task
     numbered = tokens.join(F.broadcast(offsets) if len(first) <= 100_000 else offsets, F.col("task") == F.col("_task")).withColumn("sequence", F.col("_first") + F.col("seq"))
     stride, per_shard, feistel = 2 * length, max(1, shard_bytes // (2 * length)), Feistel(n, key)
     shards = _write_shards(numbered.where("count is not null").select("sequence", "count", "tokens"), n, feistel, folder, per_shard, stride) if n else spark.createDataFrame([], "shard int, path string, sequences long, crc32 long")
@@ -240,7 +240,9 @@ def materialised(
     def slot(number: pa.Array) -> pa.Array:
         return pa.array(feistel.slot(number.to_numpy(zero_copy_only=False).astype(np.uint64)))
 
-    where = numbered.where("n_tokens is not null").select(F.col("doc_id").alias(ident), "n_tokens", "sequence", "at", slot("sequence").alias("slot"))
+    # called nondeterministic so that it is evaluated once: a join on the shard would copy it into a filter, and each task would hold two workers
+    once = slot.asNondeterministic()("sequence").alias("slot")
+    where = numbered.where("n_tokens is not null").select(F.col("doc_id").alias(ident), "n_tokens", "sequence", "at", once)
     where = where.withColumns({"shard": F.floor(F.col("slot") / per_shard).cast("int"), "byte_offset": F.col("slot") % per_shard * stride + F.col("at") * 2})
     return where, shards
 

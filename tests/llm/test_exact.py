@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunstride.llm import archive, components, decontaminate, exact_dedup, jaccard, mixing, training_order, url_filter
-from sunstride.llm.common import scratch
+from sunstride.llm import archive, components, decontaminate, exact_dedup, jaccard, mixing, toxicity, training_order, url_filter
+from sunstride.llm.common import local_table, scratch, settled
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n int, key string, part string, size long"
 
@@ -422,3 +422,24 @@ def test_shards_hold_every_text_in_permuted_order(spark):
 
 def test_training_order_of_nothing(spark):
     assert training_order.ordered(docs_of(spark, [])).collect() == []
+
+
+def test_slots_are_computed_once(spark, capsys):
+    training_order.ordered(docs_of(spark, ["a b c", "d e", None])).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_local_tables_without_python_workers(spark, monkeypatch):
+    docs = settled(docs_of(spark, [f"w{k} x y" for k in range(40)]), "docs")
+    marks = settled(spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"), "marks")
+    monkeypatch.setattr(spark.sparkContext, "parallelize", None)
+    assert toxicity.without_toxic(docs, marks).columns == docs.columns
+    assert mixing.materialise(docs).agg(F.sum(F.size(F.split("text", " ")))).first()[0] > 100
+    assert training_order.ordered(docs).count() == 40
+
+
+def test_local_tables_keep_their_rows(spark):
+    rows = [(1, "a", 0.1, None), (-(1 << 62), None, 1e300, 2), (3, "é\n", -0.0, 1 << 30)]
+    found = local_table(spark, rows, "a long, b string, c double, d int")
+    assert found.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double"), ("d", "int")] and [tuple(x) for x in found.collect()] == rows
+    assert local_table(spark, [], "a long, b string").collect() == []
