@@ -129,12 +129,13 @@ class _Part:
         """(hash, class, size, owners) of what classes of comparable size share, a run of hashes at a time."""
         runs = np.uint64(max(1, -(-self.count // _RUN)))
         for run in range(int(runs)):
-            cut = [(k[at], c[no[at]], z[no[at]]) for k, no, c, z in self.blobs for at in [np.flatnonzero((k.astype(np.uint64) * runs) >> np.uint64(32) == run)]]
-            if not cut:
-                return
-            k, c, z = (np.concatenate(x) for x in zip(*cut))
-            if not len(k):
+            of = [np.flatnonzero((b[0].astype(np.uint64) * runs) >> np.uint64(32) == run) for b in self.blobs]
+            again = np.sort(np.concatenate([b[0][at] for b, at in zip(self.blobs, of)] or [np.zeros(0, np.uint32)]))
+            again = np.unique(again[1:][again[1:] == again[:-1]])  # most hashes are there once: only the others get their classes
+            if not len(again):
                 continue
+            of = [at[again[np.minimum(np.searchsorted(again, b[0][at]), len(again) - 1)] == b[0][at]] for b, at in zip(self.blobs, of)]
+            k, c, z = (np.concatenate(x) for x in zip(*((k[at], c[no[at]], z[no[at]]) for (k, no, c, z), at in zip(self.blobs, of))))
             order = np.lexsort((c[:, 0], c[:, 1], z, k))
             k, c, z = k[order], c[order], z[order]
             new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]).any(axis=1))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import spread
 
-#: Texts that a Python worker holds at once.
-BATCH_ROWS = 500
+#: Texts that a Python worker holds at once, and the bytes at which a batch ends before it has as many.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -64,6 +64,7 @@ def draw(docs: DataFrame, ids: DataFrame, rows: int, label: str | None, ident: s
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scored(docs: DataFrame, score: Callable[[list[str | None]], dict[str, np.ndarray]], schema: str, ident: str, text: str) -> DataFrame:

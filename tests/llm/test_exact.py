@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sunstride.llm import archive, components, decontaminate, exact_dedup, jaccard, mixing, toxicity, training_order, url_filter
 from sunstride.llm.common import local_table, scratch, settled
+from sunstride.llm.labelled import BATCH_BYTES, small_batches
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n int, key string, part string, size long"
 
@@ -443,3 +445,32 @@ def test_local_tables_keep_their_rows(spark):
     found = local_table(spark, rows, "a long, b string, c double, d int")
     assert found.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double"), ("d", "int")] and [tuple(x) for x in found.collect()] == rows
     assert local_table(spark, [], "a long, b string").collect() == []
+
+
+def test_batches_end_by_bytes(spark):
+    small_batches(spark)
+    sizes = spark.range(0, 600, 1, 1).select(F.expr("repeat('x', 100000)").alias("t")).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert max(r["n"] for r in sizes) < BATCH_BYTES + 200_000 and len(sizes) > 10
+
+
+def test_part_meets_only_hashes_that_are_there_again(monkeypatch):
+    r = np.random.default_rng(3)
+    part, seen = jaccard._Part(1 << 25, 1 << 17), defaultdict(set)
+    classes = np.stack([np.arange(300), np.arange(300)[::-1]], axis=1).astype(np.uint64)
+    sizes = r.integers(10, 14, 300).astype(np.int32)
+    for _ in range(4):
+        k, no = (r.integers(0, 1 << 17, 30_000) * 32_000).astype(np.uint32), r.integers(0, 300, 30_000).astype(np.uint32)
+        k[::2] = r.integers(0, 1 << 32, 15_000, dtype=np.uint64).astype(np.uint32)
+        list(part.add(k.tobytes() + no.tobytes(), classes.tobytes(), sizes.tobytes()))
+        for a, b in zip(k.tolist(), no.tolist()):
+            seen[a].add(b)
+    sorted_, lexsort = [], np.lexsort
+    monkeypatch.setattr(jaccard.np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or lexsort(keys))
+    got = Counter((int(k), int(c[0]), int(z), int(d)) for found in part.rest() for k, c, z, d in zip(*found))
+    want = Counter()
+    for k, own in seen.items():
+        for c in own:
+            if any(o != c and 4 * max(sizes[o], sizes[c]) <= 5 * min(sizes[o], sizes[c]) for o in own):
+                want[k, c, int(sizes[c]), len(own)] += 1
+    assert got == want and sum(want.values()) > 1000
+    assert sum(sorted_) < 70_000  # of 120,000 that were dealt
